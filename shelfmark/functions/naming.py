@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.fields import trim_space
+
 # Fixed values of the naming rule.
 MAX_NAME_BYTES = 255
 CUT_MARK = "..."
@@ -16,8 +18,6 @@ _MAX_BACK_OFF = 3
 
 
 def normalized_author(author: Column) -> Column:
-    from shelfmark.functions.fields import trim_space
-
     return F.replace(trim_space(F.coalesce(author, F.lit(""))), F.lit(" ,"), F.lit(", "))
 
 
@@ -42,27 +42,28 @@ def _fit(text: Column, size: Column) -> Column:
     return F.when(F.octet_length(text) <= size, text).when(room < 0, F.lit("")).otherwise(cut)
 
 
-def book_file_name(author: Column, title: Column, book_id: Column) -> Column:
-    """`{author} - {title} [{id}].fb2`; the title is kept whole when it fits,
-    otherwise the author keeps at most half of the room."""
-    author, title = path_safe(author), path_safe(title)
-    suffix = F.concat(F.lit(" ["), book_id.cast("string"), F.lit("]" + EXTENSION))
-    budget = F.lit(MAX_NAME_BYTES) - F.octet_length(suffix)
-    room = budget - len(SEPARATOR)
+def with_file_name(
+    frame: DataFrame, author: Column, title: Column, book_id: Column, name: str = "file_name"
+) -> DataFrame:
+    """Add `{author} - {title} [{id}].fb2`; the title is kept whole when it fits,
+    otherwise the author keeps at most half of the room.
 
-    title_size, author_size = F.octet_length(title), F.octet_length(author)
-    author_beside_title = _fit(author, room - title_size)
-    share = F.least(author_size, F.floor(budget / 2).cast("int"))
-    cut_title = _fit(title, room - share)
-    author_beside_cut = _fit(author, room - F.octet_length(cut_title))
+    Every stage is a projection of its own: later stages use the earlier cut
+    several times and would otherwise repeat its expression.
+    """
+    suffix = F.concat(F.lit(" ["), book_id.cast("string"), F.lit("]" + EXTENSION))
+    out = frame.withColumns({"_author": path_safe(author), "_title": path_safe(title), "_suffix": suffix})
 
-    def join(left: Column, right: Column) -> Column:
-        return F.when(left == "", right).otherwise(F.concat(left, F.lit(SEPARATOR), right))
+    budget = F.lit(MAX_NAME_BYTES) - F.octet_length("_suffix")
+    room = budget - len(SEPARATOR)
+    share = F.least(F.octet_length("_author"), F.floor(budget / 2).cast("int"))
+    title_room = (
+        F.when(F.col("_author") == "", budget).when(F.octet_length("_title") <= room, room).otherwise(room - share)
+    )
+    out = out.withColumn("_title", _fit(F.col("_title"), title_room))
+    out = out.withColumn("_author", _fit(F.col("_author"), room - F.octet_length("_title")))
 
-    stem = (
-        F.when(author == "", _fit(title, budget))
-        .when(author_size + title_size <= room, F.concat(author, F.lit(SEPARATOR), title))
-        .when(title_size <= room, join(author_beside_title, title))
-        .otherwise(join(author_beside_cut, cut_title))
+    stem = F.when(F.col("_author") == "", F.col("_title")).otherwise(
+        F.concat(F.col("_author"), F.lit(SEPARATOR), F.col("_title"))
     )
-    return F.concat(stem, suffix)
+    return out.withColumn(name, F.concat(stem, F.col("_suffix"))).drop("_author", "_title", "_suffix")

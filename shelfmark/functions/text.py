@@ -31,8 +31,9 @@ def tokens(text: Column, fold: bool = False, stop_words: Iterable[str] = ()) ->
     lowered = F.lower(text)
     if fold:
         lowered = fold_accents(lowered)
-    dropped = ["", *stop_words]
-    return F.filter(F.split(F.regexp_replace(lowered, SEPARATORS, " "), " "), lambda t: ~t.isin(dropped))
+    words = F.array_remove(F.split(lowered, SEPARATORS), "")
+    dropped = list(stop_words)
+    return F.filter(words, lambda t: ~t.isin(dropped)) if dropped else words
 
 
 # --- Russian Snowball stemmer -------------------------------------------------

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions import fields
+from shelfmark.functions import fields, naming
+from shelfmark.operators.filters import by_ids
 from shelfmark.schema import AUTHOR_FIELDS
 
 _AUTHOR = "array<struct<id:string," + ",".join(f"{name}:string" for name in AUTHOR_FIELDS) + ">>"
@@ -55,23 +56,17 @@ def export_manifest(
     books: DataFrame, links: DataFrame, authors: DataFrame, archives: DataFrame, ids=None
 ) -> DataFrame:
     """(id, title, author, file_name, archive) of the wanted books."""
-    from shelfmark.functions import naming
-    from shelfmark.operators.filters import by_ids
-
     wanted = books if ids is None else by_ids(books, ids)
     known = wanted.join(archives.select(F.col("name").alias("archive")), "archive")
-    author = naming.normalized_author(fields.authors_text(F.col("authors")))
     # Only the wanted books' links take part in the author join.
     own_links = links if ids is None else links.join(
         known.select(F.col("id").alias("book_id")), "book_id", "left_semi"
     )
     rows = with_authors(known.select("id", "title", "archive"), own_links, authors)
-    return rows.select(
-        "id",
-        "title",
-        author.alias("author"),
-        naming.book_file_name(author, F.col("title"), F.col("id")).alias("file_name"),
-        "archive",
+    author = naming.normalized_author(fields.authors_text(F.col("authors")))
+    named = rows.select("id", "title", author.alias("author"), "archive")
+    return naming.with_file_name(named, F.col("author"), F.col("title"), F.col("id")).select(
+        "id", "title", "author", "file_name", "archive"
     )
 
 

@@ -45,22 +45,32 @@ def postings(
     columns: Sequence[str] = SEARCHED,
     only: Sequence[str] | None = None,
     stem: bool = False,
+    spread: bool = False,
     **options,
 ) -> DataFrame:
     """(term, doc_id, tf, len). `only` keeps the terms of one query.
 
-    Counts are combined before the shuffle (all tokens of a document sit in
-    one row), and the grouping starts with `doc_id`: when the input is already
-    spread by document no further exchange is needed. The length of the
-    document travels with each posting, so ranking needs no join for it.
+    The grouping starts with `doc_id`, so documents that are already spread by
+    id (as after a join on it) are counted in place. `spread` shuffles the
+    texts by id first: that moves each text once instead of a row per distinct
+    word of each text. The length of the document travels with each posting,
+    so ranking needs no join for it.
     """
+    if spread and only is None:
+        docs = docs.repartition("id")
     listed = doc_tokens(docs, columns, **options)
+    if only is not None and not stem:
+        wanted = list(only)
+        listed = listed.withColumn("terms", F.filter("terms", lambda t: t.isin(wanted)))
     words = listed.select("doc_id", "len", F.explode("terms").alias("term"))
     if stem:
+        words = words.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
         words = text.stem_russian(words, "term")
-    if only is not None:
-        words = words.filter(F.col("term").isin(list(only)))
-    counted = words.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+        if only is not None:
+            words = words.filter(F.col("term").isin(list(only)))
+        counted = words.groupBy("doc_id", "len", "term").agg(F.sum("tf").alias("tf"))
+    else:
+        counted = words.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     return counted.select("term", "doc_id", "tf", "len")
 
 
@@ -118,7 +128,7 @@ def rank_by_scan(docs: DataFrame, query_words: Sequence[str], columns: Sequence[
     listed = doc_tokens(docs, columns, **options)
 
     def occurrences(word: str) -> Column:
-        return F.size(F.filter("terms", lambda t: t == word)).cast("bigint")
+        return (F.size("terms") - F.size(F.array_remove("terms", word))).cast("bigint")
 
     counts = [occurrences(word).alias(f"tf{i}") for i, word in enumerate(words)]
     counted = listed.select("doc_id", "len", *counts)

@@ -163,9 +163,8 @@ def _(spark, folder):
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
     docs = TableViews(spark, folder).part_documents()
     described = docs.select("id", fields.parse_description(fields.description_slice(F.col("text"))).alias("d"))
-    rows = described.filter(fields.reject_reason(F.col("d")).isNull())
-    columns = {name: column.alias(name) for name, column in fields.book_columns(F.col("d")).items()}
-    return rows.select("id", *columns.values())
+    columns = [column.alias(name) for name, column in fields.book_columns(F.col("d")).items()]
+    return described.select("id", *columns)
 
 
 @query(
@@ -320,9 +319,8 @@ def _(spark, folder):
     rows = views.table("orders").join(
         views.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey"
     )
-    return rows.select(
-        F.col("o_orderkey").alias("id"), naming.book_file_name(author, title, F.col("o_orderkey")).alias("file_name")
-    )
+    named = naming.with_file_name(rows, author, title, F.col("o_orderkey"))
+    return named.select(F.col("o_orderkey").alias("id"), "file_name")
 
 
 @query(
@@ -339,7 +337,7 @@ def _(spark, folder):
 def _(spark, folder):
     """Titles without author, cut to 255 bytes at a character boundary."""
     books = TableViews(spark, folder).doc_books()
-    return books.select("id", naming.book_file_name(F.lit(""), F.col("title"), F.col("id")).alias("file_name"))
+    return naming.with_file_name(books, F.lit(""), F.col("title"), F.col("id")).select("id", "file_name")
 
 
 @query(
@@ -854,12 +852,12 @@ def _(spark, folder):
 
 @query("t3_postings", "words lengths posts", "SELECT term, doc_id, tf, len FROM posts JOIN lengths USING (doc_id)")
 def _(spark, folder):
-    return search.postings(TableViews(spark, folder).doc_texts(), ["text"])
+    return search.postings(TableViews(spark, folder).doc_texts(), ["text"], spread=True)
 
 
 @query("t3_term_stats", "words posts", "SELECT term, count(*) AS df FROM posts GROUP BY term")
 def _(spark, folder):
-    return search.term_stats(search.postings(TableViews(spark, folder).doc_texts(), ["text"]))
+    return search.term_stats(search.postings(TableViews(spark, folder).doc_texts(), ["text"], spread=True))
 
 
 def _ranked_sql(terms: str, where: str, limit: int = 1000) -> str:
