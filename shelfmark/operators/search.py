@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text
 from shelfmark.operators import filters as flt
 from shelfmark.operators import relations
+from shelfmark.operators.content import present
 
 # Fixed values of the ranking (Okapi BM25) and of the result page.
 K1, B = 1.2, 0.75
@@ -62,7 +63,9 @@ def postings(
     if only is not None and not stem:
         wanted = list(only)
         listed = listed.withColumn("terms", F.filter("terms", lambda t: t.isin(wanted)))
-    words = listed.select("doc_id", "len", F.explode("terms").alias("term"))
+    # The outer form, because the plain one lets Spark add a check of the array
+    # below, which would split every text twice.
+    words = listed.select("doc_id", "len", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
     if stem:
         words = words.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
         words = text.stem_russian(words, "term")
@@ -110,8 +113,16 @@ def rank(posts: DataFrame, terms: Sequence[str], df: DataFrame, corpus: DataFram
     return parts.groupBy(F.col("doc_id").alias("id")).agg(F.sum(score).alias("score"))
 
 
+def spread_few_files(docs: DataFrame) -> DataFrame:
+    """Texts of fewer files than there are cores, spread by id for the word
+    splitting; a large input has tasks enough and is not shuffled."""
+    few = len(docs.inputFiles()) < docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition("id") if few else docs
+
+
 def rank_documents(docs: DataFrame, query_words: Sequence[str], columns: Sequence[str] = SEARCHED, **options) -> DataFrame:
     """T4 over documents that have no stored index."""
+    docs = spread_few_files(docs)
     posts = postings(docs, columns, only=query_words, **options)
     plain = {name: value for name, value in options.items() if name != "stem"}
     corpus = corpus_stats(doc_stats(docs, columns, **plain))
@@ -121,30 +132,31 @@ def rank_documents(docs: DataFrame, query_words: Sequence[str], columns: Sequenc
 def rank_by_scan(docs: DataFrame, query_words: Sequence[str], columns: Sequence[str] = SEARCHED, **options) -> DataFrame:
     """T4 without an index and without a shuffle of postings.
 
-    Each query word becomes a count column of the scan; document frequencies
+    Each text keeps its occurrences of the query's words; document frequencies
     are one global aggregate, so only scored rows leave the scan.
     """
     words = list(query_words)
-    listed = doc_tokens(docs, columns, **options)
+    matched = doc_tokens(spread_few_files(docs), columns, **options).select(
+        "doc_id", "len", F.filter("terms", lambda t: t.isin(words)).alias("hits")
+    )
 
     def occurrences(word: str) -> Column:
-        return (F.size("terms") - F.size(F.array_remove("terms", word))).cast("bigint")
+        return (F.size("hits") - F.size(F.array_remove("hits", word))).cast("bigint")
 
-    counts = [occurrences(word).alias(f"tf{i}") for i, word in enumerate(words)]
-    counted = listed.select("doc_id", "len", *counts)
-    names = [f"tf{i}" for i in range(len(words))]
-    stats = counted.agg(
+    stats = matched.agg(
         F.struct(
             F.count("*").alias("n"),
             F.avg("len").cast("double").alias("avgdl"),
-            *(F.count_if(F.col(name) > 0).alias(name) for name in names),
-        ).alias("s")
+            *(F.count_if(F.array_contains("hits", word)).alias(f"df{i}") for i, word in enumerate(words)),
+        )
     ).scalar()
-    scored = counted.filter(F.greatest(*names, F.lit(0)) > 0).withColumn("s", stats)
+    found = present(matched.withColumn("hits", F.when(F.size("hits") > 0, F.col("hits"))), "hits")
+    scored = found.withColumn("s", stats)
     score = F.lit(0.0)
-    for name in names:
-        part = bm25(F.col("s.n"), F.col(f"s.{name}"), F.col(name), F.col("len"), F.col("s.avgdl"))
-        score = score + F.when(F.col(name) > 0, part).otherwise(F.lit(0.0))
+    for i, word in enumerate(words):
+        tf = occurrences(word)
+        part = bm25(F.col("s.n"), F.col(f"s.df{i}"), tf, F.col("len"), F.col("s.avgdl"))
+        score = score + F.when(tf > 0, part).otherwise(F.lit(0.0))
     return scored.select(F.col("doc_id").alias("id"), score.alias("score"))
 
 
