@@ -27,6 +27,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, library: str, warehouse: str, stem: bool = True):
         self.spark, self.library, self.warehouse, self.stem = spark, library, warehouse.rstrip("/"), stem
+        self._seen: tuple[int | None, list[int], bool] | None = None
         at = lambda name: f"{self.warehouse}/{name}"
         self._archives = VersionedTable(spark, at("archives"), schema.ARCHIVES)
         self._books = BatchTable(spark, at("books"), schema.BOOKS)
@@ -44,35 +45,33 @@ class Catalog:
     def archive_table(self) -> DataFrame:
         return self._archives.read()
 
-    def _batches(self) -> list[int]:
-        """Runs that hold current rows; as many as there were runs, not rows."""
-        rows = self.archive_table().filter(F.col("batch").isNotNull()).select("batch").distinct().collect()
-        return sorted(row.batch for row in rows)
+    def _state(self) -> tuple[list[int], bool]:
+        """(runs that hold current rows, whether archives share book ids), read
+        once per version of the archive table; as many runs as were made, not rows."""
+        version = self._archives.latest()
+        if self._seen is None or self._seen[0] != version:
+            row = self.archive_table().agg(F.collect_set("batch").alias("batches"), F.bool_or("shared_ids").alias("shared")).first()
+            self._seen = (version, sorted(row.batches), bool(row.shared))
+        return self._seen[1:]
 
     def _current(self, table: BatchTable, archives: DataFrame | None = None) -> DataFrame:
         """Rows of the run that each archive points to."""
         known = self.archive_table() if archives is None else archives
         live = known.filter(F.col("batch").isNotNull()).select(F.col("name").alias("archive"), "batch")
-        return table.read(self._batches()).join(live, ["archive", "batch"], "left_semi").drop("batch")
+        return table.read(self._state()[0]).join(live, ["archive", "batch"], "left_semi").drop("batch")
 
-    def _winners(self) -> tuple[DataFrame, DataFrame] | None:
-        """For ids that several archives claim: (archives concerned, id -> archive).
+    def _resolved(self, table: BatchTable, key: str) -> DataFrame:
+        """Current rows; of the archives that claim one id the greatest name wins.
 
-        The greatest archive name wins. Ingest flags the archives concerned, so
-        normally there is nothing to resolve and no shuffle is spent on it.
+        Ingest flags the archives concerned, so normally there is nothing to
+        resolve and no shuffle is spent on it.
         """
+        rows = self._current(table)
+        if not self._state()[1]:
+            return rows
         shared = self.archive_table().filter("shared_ids").select(F.col("name").alias("archive"))
-        if shared.isEmpty():
-            return None
         claimed = self._current(self._books).join(shared, "archive", "left_semi")
-        return shared, claimed.groupBy("id").agg(F.max("archive").alias("archive"))
-
-    def _resolved(self, table: BatchTable, key: str) -> DataFrame:
-        rows, winners = self._current(table), self._winners()
-        if winners is None:
-            return rows
-        shared, kept = winners
-        kept = kept.withColumnRenamed("id", key)
+        kept = claimed.groupBy(F.col("id").alias(key)).agg(F.max("archive").alias("archive"))
         disputed = rows.join(shared, "archive", "left_semi").join(kept, [key, "archive"], "left_semi")
         return rows.join(shared, "archive", "left_anti").unionByName(disputed.select(*rows.columns))
 
@@ -85,7 +84,7 @@ class Catalog:
     def _author_rows(self) -> DataFrame:
         """Latest row per author id. A run adds an id only when no other
         archive links to it, so the first name given to a linked id stays."""
-        last = max(self._batches(), default=0)
+        last = max(self._state()[0], default=0)
         rows = self._authors.read([number for number in self._authors.complete() if number <= last])
         names = F.struct(*schema.AUTHOR_FIELDS)
         newest = rows.groupBy("id").agg(F.max_by(names, F.col("batch")).alias("a"))
@@ -152,7 +151,7 @@ class Catalog:
 
     def _write_rows(self, nested: DataFrame, replaced: DataFrame, batch: int) -> None:
         books, authors, links = merge.flatten_books(nested)
-        if self._batches():
+        if self._state()[0]:
             # Ids that other archives still link to keep their row (K6). The
             # existing links are cut to the run's ids before anything else.
             others = self._current(self._links, self._others(replaced))
@@ -165,7 +164,7 @@ class Catalog:
     def _commit(self, replaced: DataFrame, batch: int) -> None:
         fresh = self._books.read([batch]).select("id", "archive")
         claims = fresh
-        if self._batches():
+        if self._state()[0]:
             others = self._current(self._books, self._others(replaced)).select("id", "archive")
             claims = fresh.unionByName(others.join(fresh.select("id").distinct(), "id", "left_semi"))
         disputed = claims.groupBy("id").agg(F.min("archive").alias("a"), F.max("archive").alias("b")).filter("a <> b")
@@ -254,13 +253,17 @@ class Catalog:
             ids = self.spark.createDataFrame([(number,) for number in ids], "id long").distinct()
         return relations.export_manifest(self.books(), self.links(), self._author_rows(), self.archive_table(), ids)
 
-    def _read(self, wanted: DataFrame, what: str) -> DataFrame:
+    def _read(self, wanted: DataFrame, what: str, ids=None) -> DataFrame:
+        """Bytes or text of books; a short list of ids takes as few tasks."""
         on_disk = arc.list_archives(self.spark, self.library)
-        return arc.lookup(on_disk, wanted, what, arc.read_partitions(self.spark, on_disk))
+        partitions = arc.read_partitions(self.spark, on_disk)
+        if isinstance(ids, list):
+            partitions = max(1, min(partitions, len(ids)))
+        return arc.lookup(on_disk, wanted, what, partitions)
 
     def _documents(self, ids) -> DataFrame:
         books = self.books() if ids is None else flt.by_ids(self.books(), ids)
-        return self._read(books.select("archive", "id"), "text")
+        return self._read(books.select("archive", "id"), "text", ids)
 
     def annotations(self, ids=None) -> DataFrame:
         return content.annotations(self._documents(ids)).select("id", "annotation")
@@ -270,12 +273,12 @@ class Catalog:
 
     def contents(self, ids=None) -> DataFrame:
         """(id, file_name, data)."""
-        read = self._read(self.manifest(ids).select("archive", "id", "file_name"), "content")
+        read = self._read(self.manifest(ids).select("archive", "id", "file_name"), "content", ids)
         return read.select("id", "file_name", F.col("content").alias("data"))
 
     def export(self, ids, out_dir: str) -> DataFrame:
         """Write the books as files; returns (id, title, author, output_path)."""
-        read = self._read(self.manifest(ids), "content")
+        read = self._read(self.manifest(ids), "content", ids)
         written = export.write_files(read.withColumnRenamed("content", "data"), out_dir)
         return self._kept(written.select("id", "title", "author", "output_path"))
 
@@ -283,7 +286,7 @@ class Catalog:
         """Pack the books into several archives; returns (bundle, id, file_name)."""
         books = self.manifest(ids).select("archive", "id", "file_name")
         bundles = max(1, -(-books.count() // per_bundle))
-        read = self._read(books, "content").withColumnRenamed("content", "data")
+        read = self._read(books, "content", ids).withColumnRenamed("content", "data")
         return self._kept(export.write_bundles(read, out_dir, bundles))
 
     def _kept(self, written: DataFrame) -> DataFrame:

@@ -377,7 +377,9 @@ def lookup(archives: DataFrame, wanted: DataFrame, what: str = "content", partit
     names = wanted.withColumn("entry", F.concat(F.col("id").cast("string"), F.lit(".fb2")))
     entries = list_entries(named).filter(F.col("error").isNull()).join(names, ["archive", "entry"])
     # Two entries of one name: the later one counts.
-    newest = entries.groupBy("archive", "entry").agg(F.max("entry_index").alias("entry_index"))
-    entries = entries.join(newest, ["archive", "entry", "entry_index"], "left_semi")
-    read = read_entries(entries.select(*ENTRIES.names, *names.drop("archive", "entry").columns), what, partitions)
+    rest = [name for name in entries.columns if name not in ("archive", "entry")]
+    newest = F.max_by(F.struct(*rest), F.col("entry_index")).alias("_row")
+    entries = entries.groupBy("archive", "entry").agg(newest).select("archive", "entry", "_row.*")
+    others = [name for name in names.columns if name not in ("archive", "entry")]
+    read = read_entries(entries.select(*ENTRIES.names, *others), what, partitions)
     return read.filter(F.col("error").isNull()).select(*wanted.columns, what)

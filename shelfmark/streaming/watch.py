@@ -15,13 +15,19 @@ _ANY_AGE = "36500d"
 
 
 def watch_library(
-    catalog: Catalog, checkpoint: str, archives_per_batch: int = 1000, continuous: bool = False
+    catalog: Catalog,
+    checkpoint: str,
+    archives_per_batch: int = 1000,
+    continuous: bool = False,
+    build_index: bool = True,
 ) -> StreamingQuery:
     """Index new archives as they come; without `continuous`, those there now.
 
     The file source remembers every archive it has handed out, whatever its
     name or age, and never opens it here (`content` is not selected). A batch
     that is repeated after a crash skips what is indexed and redoes the rest.
+    With small and frequent batches, leave `build_index` off and rebuild the
+    search index on a schedule: a rebuild reads the whole catalog.
     """
     found = (
         catalog.spark.readStream.format("binaryFile")
@@ -33,7 +39,8 @@ def watch_library(
     )
 
     def index(batch: DataFrame, _: int) -> None:
-        catalog.ingest_archives(merge.archives_to_read(batch, merge.indexed_names(catalog.archive_table())))
+        todo = merge.archives_to_read(batch, merge.indexed_names(catalog.archive_table()))
+        catalog.ingest_archives(todo, build_index)
 
     writer = arc.archive_rows(found).writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": "10 seconds"} if continuous else {"availableNow": True}

@@ -17,7 +17,7 @@ from shelfmark.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "local[8]", 4, **{"spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.files.openCostInBytes": "4194304"}
+        "local[4]", 4, **{"spark.ui.enabled": "false", "spark.driver.memory": "4g"}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
