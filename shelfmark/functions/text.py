@@ -70,18 +70,24 @@ def stem_russian(frame: DataFrame, column: str) -> DataFrame:
     """Replace `column` by its Russian stem; words without Cyrillic stay as they are.
 
     Works on the part after the first vowel (`RV`); every step is a projection
-    of its own so that no step's expression is evaluated twice.
+    of its own so that no step's expression is evaluated twice. RV is NULL for
+    words the rules do not concern, which spares them every pattern.
     """
-    word = F.replace(F.col(column), F.lit("ё"), F.lit("е"))
-    start, rest = f"_{column}_head", f"_{column}_rv"
-    out = frame.withColumn(column, word)
-    out = out.withColumn(start, F.regexp_extract(column, f"^[^{_VOWELS}]*[{_VOWELS}]", 0))
-    out = out.withColumn(rest, F.substring(F.col(column), F.length(start) + 1, F.length(column)))
+    word, start, rest = F.col(column), f"_{column}_head", f"_{column}_rv"
+    out = frame.withColumn(column, F.replace(word, F.lit("ё"), F.lit("е")))
+    head = F.regexp_extract(column, f"^[^{_VOWELS}]*[{_VOWELS}]", 0)
+    out = out.withColumn(start, F.when(word.rlike("[а-я]"), F.nullif(head, F.lit(""))))
+    out = out.withColumn(
+        rest, F.when(F.col(start).isNotNull(), F.substring(word, F.length(start) + 1, F.length(word)))
+    )
 
     rv = F.col(rest)
     cut = lambda text, suffixes: F.regexp_replace(text, _ending(suffixes), "")
     ends = lambda text, suffixes: text.rlike(_ending(suffixes))
 
+    def step(frame: DataFrame, value: Column) -> DataFrame:
+        return frame.withColumn(rest, F.when(rv.isNotNull(), value))
+
     # Step 1: a perfective gerund, or (after any reflexive) the first of
     # adjectival, verb and noun endings that is there.
     plain = cut(rv, _REFLEXIVE)
@@ -92,15 +98,15 @@ def stem_russian(frame: DataFrame, column: str) -> DataFrame:
         .when(ends(plain, _NOUN), cut(plain, _NOUN))
         .otherwise(plain)
     )
-    out = out.withColumn(rest, stepped)
+    out = step(out, stepped)
     # Step 2: a final и.
-    out = out.withColumn(rest, F.regexp_replace(rv, r"и\z", ""))
+    out = step(out, F.regexp_replace(rv, r"и\z", ""))
     # Step 3: a derivational ending inside R2. R2 is what is left of the word
     # after two vowel + consonant passages; look for them from the word's start.
     whole = F.concat(F.col(start), rv)
     passage = f"[^{_VOWELS}]*[{_VOWELS}]+[^{_VOWELS}]"
     in_r2 = whole.rlike(f"^{passage}{passage}.*(?:{_DERIVATIONAL})\\z")
-    out = out.withColumn(rest, F.when(in_r2, cut(rv, _DERIVATIONAL)).otherwise(rv))
+    out = step(out, F.when(in_r2, cut(rv, _DERIVATIONAL)).otherwise(rv))
     # Step 4: нн -> н, a superlative ending (then нн -> н), or a final ь.
     undouble = lambda text: F.regexp_replace(text, r"нн\z", "н")
     finished = (
@@ -108,8 +114,5 @@ def stem_russian(frame: DataFrame, column: str) -> DataFrame:
         .when(ends(rv, _SUPERLATIVE), undouble(cut(rv, _SUPERLATIVE)))
         .otherwise(F.regexp_replace(rv, r"ь\z", ""))
     )
-    out = out.withColumn(rest, finished)
-    stemmed = F.when(F.col(start) == "", F.col(column)).otherwise(F.concat(F.col(start), rv))
-    return out.withColumn(column, F.when(F.col(column).rlike("[а-я]"), stemmed).otherwise(F.col(column))).drop(
-        start, rest
-    )
+    out = step(out, finished)
+    return out.withColumn(column, F.coalesce(F.concat(start, rest), word)).drop(start, rest)
