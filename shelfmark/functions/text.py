@@ -115,4 +115,8 @@ def stem_russian(frame: DataFrame, column: str) -> DataFrame:
         .otherwise(F.regexp_replace(rv, r"ь\z", ""))
     )
     out = step(out, finished)
-    return out.withColumn(column, F.coalesce(F.concat(start, rest), word)).drop(start, rest)
+    # Handed on through a generator: a filter on the stem must not be pushed
+    # down, which would write all steps into one expression many times over.
+    stem = F.array(F.coalesce(F.concat(start, rest), word))
+    others = [name for name in frame.columns if name != column]
+    return out.select(*others, F.explode_outer(stem).alias(column))
