@@ -904,7 +904,7 @@ def _(spark, folder):
 @query(
     "t6_browse",
     "books links authors book_authors",
-    """SELECT books.id, title, array_to_string(genres, '|') AS genres, coalesce(authors_list, '') AS authors, date, lang, file_size, sequence, 0.0 AS score
+    """SELECT books.id, title, array_to_string(genres, '|') AS genres, coalesce(authors_list, '') AS authors, date, lang, file_size, sequence, CAST(0.0 AS DOUBLE) AS score
     FROM books LEFT JOIN book_authors USING (id) WHERE title ILIKE '%e%' ORDER BY title, books.id LIMIT 1000""",
 )
 def _(spark, folder):

@@ -85,13 +85,13 @@ def test_ingest_search_and_health(catalog, library):
 
 def test_incremental_resume_and_replace(catalog, library):
     two_archives(library)
-    catalog.ingest("new")
+    catalog.ingest("new", build_index=False)
     before = catalog.books().orderBy("id").collect()
-    catalog.ingest("new")
-    catalog.ingest("full")
+    catalog.ingest("new", build_index=False)
+    catalog.ingest("full", build_index=False)
     assert catalog.books().orderBy("id").collect() == before
     write_zip(library / "a.zip", {"2.fb2": book("Changed", "Ann", "Lee"), "9.fb2": book("Added")})
-    catalog.ingest("new")
+    catalog.ingest("new", build_index=False)
     assert "Changed" not in titles(catalog.books())
     catalog.mark(catalog.archive_table().filter("name = 'a.zip'").select("name"), "indexing")
     # While an archive is being redone its former rows stay readable.
@@ -105,7 +105,7 @@ def test_incremental_resume_and_replace(catalog, library):
 
 def test_half_written_run_is_not_seen(catalog, library, monkeypatch):
     two_archives(library)
-    catalog.ingest("new")
+    catalog.ingest("new", build_index=False)
     write_zip(library / "a.zip", {"7.fb2": book("Later", "Zed", "Z")})
 
     def crash(*_):
@@ -113,13 +113,13 @@ def test_half_written_run_is_not_seen(catalog, library, monkeypatch):
 
     monkeypatch.setattr(Catalog, "_commit", crash)
     try:
-        catalog.ingest("full")
+        catalog.ingest("full", build_index=False)
     except RuntimeError:
         pass
     monkeypatch.undo()
     assert catalog.count() == 4 and "Later" not in titles(catalog.books())
     assert set(statuses(catalog).values()) == {"indexing"}
-    catalog.ingest("new")
+    catalog.ingest("new", build_index=False)
     assert titles(catalog.books()) == ["Later", "Quiet", "War Stories"]
     assert sorted(r.first_name for r in catalog.authors().collect()) == ["Bob", "Leo", "Zed"]
 
@@ -180,7 +180,7 @@ def test_stream_indexes_each_archive_once(catalog, library, tmp_path):
     two_archives(library)
 
     def run():
-        stream = watch_library(catalog, str(tmp_path / "checkpoint"), archives_per_batch=1)
+        stream = watch_library(catalog, str(tmp_path / "checkpoint"), archives_per_batch=1, build_index=False)
         stream.awaitTermination(120)
         assert stream.exception() is None
 
@@ -190,3 +190,40 @@ def test_stream_indexes_each_archive_once(catalog, library, tmp_path):
     run()
     assert catalog.count() == 5 and len(catalog.archive_table().filter("status = 'indexed'").collect()) == 3
     assert catalog.archive_table().agg(F.count_distinct("batch")).first()[0] == 3
+
+
+def test_index_versions_and_validity(catalog, library):
+    two_archives(library)
+    catalog.ingest("new", build_index=False)
+    assert not catalog.health().first().search_index_valid
+    # The first query builds the missing index.
+    assert titles(catalog.search("quiet")) == ["Quiet"]
+    assert catalog.health().first().search_index_valid
+    # A newer index that was not finished changes nothing.
+    catalog._search_docs.write(catalog.search_docs().filter("id = 1"), 2)
+    catalog._postings.write(catalog._postings.read(1).filter("doc_id = 1"), 2)
+    assert titles(catalog.search("quiet")) == ["Quiet"] and catalog.search_docs().count() == 4
+    write_zip(library / "b.zip", {"3.fb2": book("Loud")})
+    catalog.ingest("b.zip", build_index=False)
+    assert not catalog.health().first().search_index_valid
+    catalog.ingest("search")
+    assert titles(catalog.search("quiet")) == [] and titles(catalog.search("loud")) == ["Loud"]
+    assert catalog.health().first().search_index_valid
+
+
+def test_search_of_an_empty_catalog(catalog, library):
+    catalog.ingest("new")
+    assert catalog.count() == 0 and catalog.search("").collect() == [] and catalog.search("word").collect() == []
+    health = catalog.health().first()
+    assert health.search_index_valid and not health.needs_resume and catalog.facet("lang").collect() == []
+
+
+def test_one_archive_with_most_books(spark, catalog, library, monkeypatch):
+    """A hot archive is split into slices and counts stay whole."""
+    monkeypatch.setattr(arc, "SLICE_BYTES", 4096)
+    write_zip(library / "hot.zip", {f"{i}.fb2": book(f"Hot {i}", "Same", "Author") for i in range(1, 301)})
+    write_zip(library / "cold.zip", {"900.fb2": book("Cold", "Same", "Author")})
+    assert arc.list_entries(arc.list_archives(spark, str(library)), 4096).select("slice").distinct().count() > 5
+    catalog.ingest("new", build_index=False)
+    assert catalog.count() == 301 and catalog.links().count() == 301
+    assert titles(catalog.search("", Filters(title="=Hot 7"))) == ["Hot 7"]
