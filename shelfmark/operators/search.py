@@ -78,8 +78,12 @@ def postings(
 
 
 def term_stats(posts: DataFrame) -> DataFrame:
-    """(term, df). A term that is in most documents still is one row per task."""
-    return posts.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df). A term that is in most documents still is one row per task.
+
+    Counting by `tf` keeps that column in the plan, so that a query over texts
+    without an index can share the shuffle of its postings with this one.
+    """
+    return posts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def query_terms(spark, query: str, stem: bool = False, **options) -> list[str]:
