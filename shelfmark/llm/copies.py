@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import keep
-from shelfmark.llm.graph import components
+from shelfmark.llm.graph import components, forest
 from shelfmark.llm.tokens import chunks, mixed, words
 
 NGRAM = 3
@@ -149,7 +149,7 @@ def bands(grams: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -> tupl
 
 
 def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each key its least node, and distinct edges from the other nodes of a key to it."""
+    """Of each key its least node, and edges that connect the nodes of equal keys, at most one for each node."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     first = np.ones(len(keys), bool)
@@ -157,8 +157,7 @@ def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts = np.flatnonzero(first)
     centre = np.repeat(nodes[starts], np.diff(np.append(starts, len(keys))))
     apart = nodes != centre
-    pairs = np.unique(np.stack([nodes[apart], centre[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
-    return keys[starts], nodes[starts], pairs[:, 0], pairs[:, 1]
+    return keys[starts], nodes[starts], *forest(nodes[apart], centre[apart])
 
 
 def router(ngram: int, percent: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -205,8 +204,7 @@ def joiner(buckets: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         if bucket < buckets:
             _, _, a, b = stars(np.frombuffer(left, np.uint64), np.frombuffer(right, np.int64))
         else:
-            pairs = np.stack([np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)], axis=1)
-            a, b = np.unique(pairs, axis=0).T
+            a, b = forest(np.frombuffer(left, np.int64), np.frombuffer(right, np.int64))
         return pd.DataFrame({"a": a, "b": b})
 
     return run
