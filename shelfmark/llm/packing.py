@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ CAPACITY = 2048
 END_OF_BOOK = 0
 PIECES = "row long, id long, piece int, start long, length long, ids_crc32 long"
 # Words whose ids a task remembers; beyond it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_500_000
 TOGETHER = 200
 
 
@@ -40,6 +41,9 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         import regex
         from tokenizers import Tokenizer
 
@@ -117,12 +121,18 @@ class Encoder:
             yield self.whole(texts[i].as_py()) if i in odd else flat[bounds[i] : bounds[i + 1]]
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, so that later tasks find the words of earlier ones."""
+    return Encoder(path)
+
+
 def cutter(path: str, capacity: int = CAPACITY) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Batches of (row, id, text) to batches of pieces."""
     schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             rows: list[tuple] = []
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)

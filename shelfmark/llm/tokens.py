@@ -84,7 +84,7 @@ def words(texts: pa.Array, split_signs: bool = False, lower: bool = True) -> Wor
     return Words(data, start, length, mixed(np.add.reduceat(terms, at)), np.searchsorted(start, bounds))
 
 
-def chunks(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
+def chunks(texts: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, pa.Array]]:
     """(offset, slice) pieces of a column, each of about `most_bytes` or one longer text."""
     raw_bounds = buffers(texts)[1]
     at = 0
