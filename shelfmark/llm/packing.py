@@ -11,7 +11,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -121,10 +120,17 @@ class Encoder:
             yield self.whole(texts[i].as_py()) if i in odd else flat[bounds[i] : bounds[i + 1]]
 
 
-@cache
 def _encoder(path: str) -> Encoder:
-    """One for each Python worker, so that later tasks find the words of earlier ones."""
-    return Encoder(path)
+    """One for each Python worker, so that later tasks find the words of earlier ones.
+
+    Code comes anew with each task, so the encoder is held by a module that stays.
+    """
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_shelfmark_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def cutter(path: str, capacity: int = CAPACITY) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
