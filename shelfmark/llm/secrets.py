@@ -73,8 +73,8 @@ def scan(entries: DataFrame, ledger: DataFrame | None = None, rule_version: int
     known = spark.createDataFrame([], LEDGER) if ledger is None else ledger.select(*LEDGER.fieldNames())
     current = known.filter(F.col("rule_version") == rule_version)
     versions = entries.select("archive", "entry", F.sha2(text_of(), 256).alias("blob"), text_of().alias("text"))
-    unseen = versions.select("blob", "text").join(current.select("blob"), "blob", "left_anti")
-    contents = unseen.groupBy("blob").agg(F.first("text").alias("text"))
+    # Grouped first: a content is sent once by each task, however many entries hold it.
+    contents = versions.groupBy("blob").agg(F.first("text").alias("text")).join(current.select("blob"), "blob", "left_anti")
     scanned = keep(
         contents.select("blob", F.lit(rule_version).alias("rule_version"), findings_of(F.col("text")).alias("findings")), "scanned"
     )
