@@ -4,7 +4,8 @@ Patterns propose spans. Labelers vote on each of them: the rule that belongs to
 the pattern, its shape, a gazetteer, the words before it and what touches it.
 Expectation-maximisation estimates how far each labeler can be trusted, without
 any labelled span, and its posteriors train a classifier of spans. Spans that
-satisfy their rule always stay; the classifier decides on the others.
+satisfy their rule always stay, those that fail it never do; the classifier
+decides on what no rule covers.
 """
 
 from __future__ import annotations
@@ -204,7 +205,9 @@ class Model:
             probability = 1 / (1 + F.exp(-(votes + features + weight(s["kind"]))))
             return F.struct(*[s[c].alias(c) for c in ("rank", "start", "end", "kind", "base")], probability.alias("probability"))
 
-        stay = F.filter(F.transform(proposed, scored), lambda s: s["base"] | (s["probability"] >= least_probability))
+        # What failed its rule has shown the labelers false spans and is not added.
+        open_to = F.filter(proposed, lambda s: s["base"] | (s["votes"][0] >= 0))
+        stay = F.filter(F.transform(open_to, scored), lambda s: s["base"] | (s["probability"] >= least_probability))
         return F.transform(F.array_sort(stay), lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "base", "probability")]))
 
 
