@@ -32,19 +32,24 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the least node that the edges (a, b; 64-bit numbers) connect it with.
 
-    Each round a node takes the least label among its own, its neighbours' and
-    its label's, so labels travel twice as far each time. Rounds are written to
-    the shared folder; only the number of changed labels reaches the driver. A
-    node with many neighbours meets them as partial minima.
+    Each round a node follows its least neighbour, and that one's, and the edges
+    are drawn anew between the nodes so reached, until none is left. Rounds are
+    written to the shared folder; the driver learns only whether edges are left.
+    A node with many neighbours meets them as partial minima.
     """
     forth = edges.select("a", "b").filter("a <> b")
-    both = keep(forth.unionByName(forth.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = keep(both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("label"), F.lit(True).alias("moved")), "labels")
-    while labels.filter("moved").limit(1).count():
-        known = labels.select("node", "label")
-        near = both.join(known.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("_near"))
-        jumps = known.join(known.select(F.col("node").alias("label"), F.col("label").alias("_far")), "label")
-        stepped = jumps.join(near, F.col("node") == F.col("a"))
-        label = F.least("_near", "_far", "label")
-        labels = keep(stepped.select("node", label.alias("label"), (label < F.col("label")).alias("moved")), "labels")
-    return labels.select("node", "label")
+    left = keep(forth.unionByName(forth.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = left.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+    first = True
+    while left.limit(1).count():
+        near = keep(left.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("up")), "near")
+        roots = keep(near.join(near.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root"), "roots")
+        if first:
+            labels, first = roots.withColumnRenamed("root", "label"), False
+        else:
+            moved = labels.join(roots.withColumnRenamed("node", "label"), "label", "left")
+            labels = keep(moved.select("node", F.coalesce("root", "label").alias("label")), "labels")
+        end = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
+        drawn = left.join(end("a"), "a").join(end("b"), "b").filter("_a <> _b")
+        left = keep(drawn.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "edges")
+    return labels
