@@ -164,30 +164,33 @@ def rank_by_scan(docs: DataFrame, query_words: Sequence[str], columns: Sequence[
     return scored.select(F.col("doc_id").alias("id"), score.alias("score"))
 
 
-def top_by_score(rows: DataFrame, limit: int = RESULT_LIMIT) -> DataFrame:
-    return rows.orderBy(F.desc("score"), "id").limit(limit)
+def _first(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def top_by_title(books: DataFrame, limit: int = RESULT_LIMIT) -> DataFrame:
-    return books.orderBy(F.asc_nulls_last("title"), "id").limit(limit)
+def top_by_score(rows: DataFrame, limit: int | None = RESULT_LIMIT) -> DataFrame:
+    """The best `limit` rows; every row, sorted, without one."""
+    return _first(rows.orderBy(F.desc("score"), "id"), limit)
 
 
-def _page(top: DataFrame, links: DataFrame, authors: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    """Authors are looked up for the result page only."""
+def top_by_title(books: DataFrame, limit: int | None = RESULT_LIMIT) -> DataFrame:
+    return _first(books.orderBy(F.asc_nulls_last("title"), "id"), limit)
+
+
+def _page(top: DataFrame, links: DataFrame, authors: DataFrame, order: list[Column]) -> DataFrame:
+    """Authors are looked up for the result page only; how it is joined follows from its size."""
     ids = top.select(F.col("id").alias("book_id"))
-    if limit <= RESULT_LIMIT:
-        ids = F.broadcast(ids)
     own = links.join(ids, "book_id", "left_semi")
     return relations.with_authors(top, own, authors).select(*RESULT_COLUMNS).orderBy(*order)
 
 
 def browse(
-    books: DataFrame, links: DataFrame, authors: DataFrame, filters: flt.Filters, limit: int = RESULT_LIMIT
+    books: DataFrame, links: DataFrame, authors: DataFrame, filters: flt.Filters, limit: int | None = RESULT_LIMIT
 ) -> DataFrame:
     """Filtered books by title, score 0."""
     found = flt.apply_filters(flt.complete_rows(books), filters, links, authors)
     top = top_by_title(found, limit).withColumn("score", F.lit(0.0))
-    return _page(top, links, authors, [F.asc_nulls_last("title"), F.col("id")], limit)
+    return _page(top, links, authors, [F.asc_nulls_last("title"), F.col("id")])
 
 
 def ranked(
@@ -196,9 +199,9 @@ def ranked(
     links: DataFrame,
     authors: DataFrame,
     filters: flt.Filters,
-    limit: int = RESULT_LIMIT,
+    limit: int | None = RESULT_LIMIT,
 ) -> DataFrame:
     """T4, T5: hits (id, score) with book columns; filters come before the limit."""
     found = flt.apply_filters(flt.complete_rows(books), filters, links, authors)
     top = top_by_score(hits.join(found, "id"), limit)
-    return _page(top, links, authors, [F.desc("score"), F.col("id")], limit)
+    return _page(top, links, authors, [F.desc("score"), F.col("id")])

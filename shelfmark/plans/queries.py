@@ -496,8 +496,7 @@ def _(spark, folder):
 @query(
     "f18_log_view",
     "log",
-    """SELECT id, level, source, message FROM (SELECT * FROM log ORDER BY id DESC LIMIT 1000)
-    WHERE level IN ('warn', 'error') AND (contains(lower(message), '7') OR contains(level, '7') OR contains(source, '7'))""",
+    """SELECT id, level, source, message FROM log WHERE level IN ('warn', 'error') AND (contains(lower(message), '7') OR contains(level, '7') OR contains(source, '7'))""",
 )
 def _(spark, folder):
     return flt.log_view(TableViews(spark, folder).log(), "warn", "7")
@@ -912,6 +911,18 @@ def _(spark, folder):
     return _flat(search.browse(views.part_books(), views.part_links(), views.part_authors(), Filters(title="e")))
 
 
+@query(
+    "t6_browse_all",
+    "books links authors book_authors",
+    """SELECT books.id, title, array_to_string(genres, '|') AS genres, coalesce(authors_list, '') AS authors, date, lang, file_size, sequence, CAST(0.0 AS DOUBLE) AS score
+    FROM books LEFT JOIN book_authors USING (id) WHERE title ILIKE '%e%'""",
+)
+def _(spark, folder):
+    """Every hit, without a page."""
+    views = TableViews(spark, folder)
+    return _flat(search.browse(views.part_books(), views.part_links(), views.part_authors(), Filters(title="e"), limit=None))
+
+
 @query("o1_title_order", "doc_books", "SELECT id, title FROM doc_books ORDER BY title NULLS LAST, id LIMIT 1000")
 def _(spark, folder):
     return search.top_by_title(TableViews(spark, folder).doc_books()).select("id", "title")
