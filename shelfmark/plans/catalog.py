@@ -132,11 +132,18 @@ class Catalog:
         known = self.archive_table()
         results = runs.outcomes(todo, parsed, known)
         self._log.write(runs.log_rows(parsed, results), batch)
-        replaced = results.filter((F.col("books") > 0) | (F.col("known") & F.col("readable"))).select("name")
+        # Storage that failed says nothing about an archive: it keeps its rows and
+        # stays to be indexed by the next run.
+        failed = results.filter("io_failed").select("name")
+        if not failed.isEmpty():
+            self.mark(failed, schema.STATUS_INDEXING)
+        whole = (F.col("books") > 0) | (F.col("known") & F.col("readable"))
+        replaced = results.filter(~F.col("io_failed") & whole).select("name")
         if replaced.isEmpty():
             return False
         self.mark(replaced, schema.STATUS_INDEXING)
-        self._write_rows(runs.accepted(parsed), replaced, batch)
+        accepted = runs.accepted(parsed).join(replaced.withColumnRenamed("name", "archive"), "archive", "left_semi")
+        self._write_rows(accepted, replaced, batch)
         self._commit(replaced, batch)
         if build_index:
             self.build_search_index()

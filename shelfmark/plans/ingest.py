@@ -44,11 +44,16 @@ def parse_archives(spark: SparkSession, todo: DataFrame) -> DataFrame:
 
 
 def outcomes(todo: DataFrame, parsed: DataFrame, known: DataFrame) -> DataFrame:
-    """(name, books, rejected, readable, known) per archive of the run."""
+    """(name, books, rejected, readable, known, io_failed) per archive of the run.
+
+    An archive of which the storage did not give every byte is not readable,
+    whatever could be read of it.
+    """
     found = parsed.groupBy(F.col("archive").alias("name")).agg(
         F.count_if(F.col("reason").isNull()).alias("books"),
         F.count_if(F.col("reason").isNotNull()).alias("rejected"),
         F.count_if(F.col("entry").isNull()).alias("_unreadable"),
+        F.count_if(F.col("reason").startswith(arc.IO_ERROR)).alias("_io"),
     )
     marked = known.select("name", F.lit(True).alias("_known"))
     joined = todo.select("name").join(found, "name", "left").join(marked, "name", "left")
@@ -56,8 +61,9 @@ def outcomes(todo: DataFrame, parsed: DataFrame, known: DataFrame) -> DataFrame:
         "name",
         F.coalesce("books", F.lit(0)).alias("books"),
         F.coalesce("rejected", F.lit(0)).alias("rejected"),
-        (F.coalesce("_unreadable", F.lit(0)) == 0).alias("readable"),
+        (F.coalesce("_unreadable", F.lit(0)) + F.coalesce("_io", F.lit(0)) == 0).alias("readable"),
         F.coalesce("_known", F.lit(False)).alias("known"),
+        (F.coalesce("_io", F.lit(0)) > 0).alias("io_failed"),
     )
 
 

@@ -78,6 +78,10 @@ def archive_rows(found: DataFrame) -> DataFrame:
 # --- directories ------------------------------------------------------------------
 
 
+# What an entry's error begins with when the storage failed, not the format.
+IO_ERROR = "I/O error: "
+
+
 def _open(path: str):
     """Random access to a file of any file system that Arrow knows."""
     import os
@@ -348,7 +352,9 @@ def read_entries(entries: DataFrame, what: str = "content", partitions: int | No
                             raise ValueError("empty entry")
                         value = reader(_inflate(file, row))
                     except (OSError, ValueError, EOFError, zlib.error, struct.error) as problem:
-                        error = str(problem)
+                        # A decompressor's complaint has no errno; the storage's has one.
+                        stored = isinstance(problem, OSError) and problem.errno is not None
+                        error = (IO_ERROR if stored else "") + str(problem)
                 rows.append(row)
                 contents.append(value)
                 errors.append(error)

@@ -227,3 +227,22 @@ def test_one_archive_with_most_books(spark, catalog, library, monkeypatch):
     catalog.ingest("new", build_index=False)
     assert catalog.count() == 301 and catalog.links().count() == 301
     assert titles(catalog.search("", Filters(title="=Hot 7"))) == ["Hot 7"]
+
+
+def test_storage_faults_keep_an_archive_and_its_turn(catalog, library, monkeypatch):
+    two_archives(library)
+    catalog.ingest("full")
+    before = titles(catalog.search(""))
+    listing = arc.list_entries
+
+    def vanished(*args, **kwargs):
+        gone = F.when((F.col("archive") == "a.zip") | (F.col("entry") == "3.fb2"), F.concat("path", F.lit(".gone"))).otherwise(F.col("path"))
+        return listing(*args, **kwargs).withColumn("path", gone)
+
+    monkeypatch.setattr(arc, "list_entries", vanished)
+    catalog.ingest("full")
+    assert titles(catalog.search("")) == before and len(before) == 4
+    assert statuses(catalog) == {"a.zip": "indexing", "b.zip": "indexing"}
+    monkeypatch.undo()
+    catalog.ingest("new")
+    assert titles(catalog.search("")) == before and statuses(catalog) == {"a.zip": "indexed", "b.zip": "indexed"}
