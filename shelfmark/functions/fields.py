@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmark.schema import AUTHOR_FIELDS, DESCRIPTION, MAX_BOOK_ID, SEQUENCE_DEPTH
+from shelfmark.schema import AUTHOR_FIELDS, DESCRIPTION, MAX_BOOK_ID
 
 _NO_TEXTS = "array<string>"
 
@@ -81,21 +81,24 @@ def genres(values: Column) -> Column:
     return F.array_distinct(F.coalesce(values, F.array().cast(_NO_TEXTS)))
 
 
-def sequence_text(sequences: Column) -> Column:
-    """Nested series, parents before children: `Parent 1, Child 2`."""
-    return F.array_join(_sequence_labels(sequences, SEQUENCE_DEPTH), ", ")
+def sequence_text(block: Column) -> Column:
+    """Series of the first title-info of a metadata block, nested to any depth,
+    parents before children: `Parent 1, Child 2`.
 
+    Opening tags in the order of the text are that order already, so nothing
+    recursive is needed; each tag is parsed for its attributes alone.
+    """
+    bare = F.regexp_replace(block, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+    info = F.regexp_extract(bare, r"(?s)<title-info(?:\s[^>]*?)?(?:/>|>(.*?)</title-info>)", 1)
+    tags = F.regexp_extract_all(info, F.lit(r"""<sequence(?=[\s/>])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""), 1)
 
-def _sequence_labels(sequences: Column, depth: int) -> Column:
-    def labels(sequence: Column) -> Column:
-        name = F.coalesce(sequence["_name"], F.lit(""))
-        number = sequence["_number"]
-        own = F.array(F.when(number.isNull(), name).otherwise(F.concat(name, F.lit(" "), number)))
-        if depth == 1:
-            return own
-        return F.concat(own, _sequence_labels(sequence["sequence"], depth - 1))
+    def label(attributes: Column) -> Column:
+        tag = F.concat(F.lit("<sequence"), F.regexp_replace(attributes, r"[\s/]+\z", ""), F.lit("/>"))
+        given = F.from_xml(tag, "_name string, _number string")
+        name, number = F.coalesce(given["_name"], F.lit("")), given["_number"]
+        return F.when(number.isNull(), name).otherwise(F.concat(name, F.lit(" "), number))
 
-    return F.coalesce(F.flatten(F.transform(sequences, labels)), F.array().cast(_NO_TEXTS))
+    return F.array_join(F.transform(tags, label), ", ")
 
 
 # --- authors -----------------------------------------------------------------
@@ -188,8 +191,8 @@ def human_size(size: Column) -> Column:
 # --- the whole row -----------------------------------------------------------
 
 
-def book_columns(description: Column) -> dict[str, Column]:
-    """Catalog columns of a parsed description (id, size and archive excepted)."""
+def book_columns(description: Column, block: Column) -> dict[str, Column]:
+    """Catalog columns of a description, parsed and as text (id, size and archive excepted)."""
     info = title_info(description)
     return {
         "title": title(info["book-title"]),
@@ -200,6 +203,6 @@ def book_columns(description: Column) -> dict[str, Column]:
             F.get(description["document-info"], F.lit(0))["date"],
         ),
         "lang": lang(info["lang"]),
-        "sequence": sequence_text(info["sequence"]),
+        "sequence": sequence_text(block),
         "authors": author_rows(info["author"]),
     }

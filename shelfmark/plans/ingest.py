@@ -32,13 +32,13 @@ def parse_archives(spark: SparkSession, todo: DataFrame) -> DataFrame:
     follows the parse, so each document is parsed once.
     """
     partitions = arc.read_partitions(spark, todo)
-    listed = arc.list_entries(todo.repartition(min(partitions, 10 * spark.sparkContext.defaultParallelism), "path"))
+    listed = arc.list_entries(todo.repartition(partitions, "path"))
     number = fields.book_id(F.col("entry"))
     problem = F.when(F.col("entry").isNotNull() & number.isNull(), F.lit("no book id in the entry name"))
     entries = listed.withColumn("id", number).withColumn("error", F.coalesce("error", problem))
     read = arc.read_entries(entries, "description", partitions)
     parsed = read.withColumn("d", fields.parse_description(F.col("description")))
-    columns = [column.alias(name) for name, column in fields.book_columns(F.col("d")).items()]
+    columns = [column.alias(name) for name, column in fields.book_columns(F.col("d"), F.col("description")).items()]
     reason = F.coalesce("error", fields.reject_reason(F.col("d")))
     return parsed.select("archive", "entry", "entry_index", "id", "file_size", *columns, reason.alias("reason"))
 

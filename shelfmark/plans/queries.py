@@ -33,9 +33,8 @@ RELATIONS = {
     "authors": """SELECT CAST(s_suppkey AS VARCHAR) AS id, n_name AS first_name, CAST(NULL AS VARCHAR) AS middle_name,
         s_name AS last_name, CAST(NULL AS VARCHAR) AS nickname
         FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""",
-    "links": """SELECT l_partkey AS book_id, CAST(l_suppkey AS VARCHAR) AS author_id, min(l_linenumber) AS pos,
-        any_value(p_brand) AS archive FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size <> 1
-        GROUP BY l_partkey, l_suppkey""",
+    "links": """SELECT l_partkey + 1 AS book_id, CAST(l_suppkey AS VARCHAR) AS author_id, min(l_linenumber) AS pos,
+        any_value(p_brand) AS archive FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_partkey, l_suppkey""",
     "book_authors": """SELECT book_id AS id, string_agg(coalesce(first_name || ' ', '') || coalesce(middle_name || ' ', '')
         || coalesce(last_name || ' ', '') || coalesce(' (' || nickname || ')', ''), ',' ORDER BY pos, author_id) AS authors_text,
         string_agg(author_id || ':' || concat_ws(' ', first_name, middle_name, last_name, nickname), ';' ORDER BY pos, author_id) AS authors_list
@@ -162,8 +161,9 @@ def _(spark, folder):
 
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
     docs = TableViews(spark, folder).part_documents()
-    described = docs.select("id", fields.parse_description(fields.description_slice(F.col("text"))).alias("d"))
-    columns = [column.alias(name) for name, column in fields.book_columns(F.col("d")).items()]
+    blocks = docs.select("id", fields.description_slice(F.col("text")).alias("block"))
+    described = blocks.withColumn("d", fields.parse_description(F.col("block")))
+    columns = [column.alias(name) for name, column in fields.book_columns(F.col("d"), F.col("block")).items()]
     return described.select("id", *columns)
 
 
@@ -175,7 +175,7 @@ def _parsed(spark: SparkSession, folder: str) -> DataFrame:
              WHEN p_size % 7 <> 0 THEN '01.02.' || p_size ELSE '' END AS date,
         lower(p_type) AS lang,
         CASE WHEN p_type = split_part(p_name, ' ', 1) THEN p_type ELSE p_type || '|' || split_part(p_name, ' ', 1) END AS genres,
-        p_brand || ' ' || p_size || ', ' || p_type AS sequence FROM part""",
+        p_brand || ' ' || p_size || ', ' || p_type || ', Third 3, Fourth, A & B 5' AS sequence FROM part""",
 )
 def _(spark, folder):
     """P3–P9 in one: documents written from `part` and parsed back."""
@@ -209,14 +209,14 @@ def _(spark, folder):
     )
 
 
-@query("p7_series_text", "", "SELECT p_partkey AS id, p_brand || ' ' || p_size || ', ' || p_type AS sequence FROM part")
+@query("p7_series_text", "", "SELECT p_partkey AS id, p_brand || ' ' || p_size || ', ' || p_type || ', Third 3, Fourth, A & B 5' AS sequence FROM part")
 def _(spark, folder):
     return _parsed(spark, folder).select("id", "sequence")
 
 
-@query("p8_language", "", "SELECT conv_id, coalesce(first(role ORDER BY turn), '') AS lang FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+@query("p8_language", "", "SELECT conv_id, coalesce(first(role ORDER BY turn), '') AS lang FROM conversations GROUP BY conv_id")
 def _(spark, folder):
-    talks = TableViews(spark, folder).table("conversations").filter(F.col("role") != "system")
+    talks = TableViews(spark, folder).table("conversations")
     roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda r: r["role"])
     return talks.groupBy("conv_id").agg(fields.lang(roles).alias("lang"))
 
@@ -224,14 +224,17 @@ def _(spark, folder):
 @query(
     "p9_genres",
     "",
-    """SELECT doc_id AS id, array_to_string([x.w FOR x IN list_sort([{'p': list_position(ws, w), 'w': w} FOR w IN list_distinct(ws)])], ' ') AS genres
-    FROM (SELECT doc_id, list_filter(string_split(split_part(text, chr(10), 1), ' '), lambda w: w <> '') AS ws FROM documents)""",
+    """WITH cut AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
+    placed AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM cut),
+    firsts AS (SELECT doc_id, w, min(p) AS p FROM placed WHERE w <> '' GROUP BY doc_id, w)
+    SELECT doc_id AS id, coalesce(genres, '') AS genres FROM documents
+    LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS genres FROM firsts GROUP BY doc_id) USING (doc_id)""",
 )
 def _(spark, folder):
-    """Distinct words of the first line, in order of first appearance."""
-    books = TableViews(spark, folder).doc_books()
-    words = F.filter(F.split("title", " "), lambda w: w != "")
-    return books.select("id", F.array_join(fields.genres(words), " ").alias("genres"))
+    """Distinct words of the whole text, in order of first appearance."""
+    docs = TableViews(spark, folder).doc_texts()
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    return docs.select("id", F.array_join(fields.genres(words), " ").alias("genres"))
 
 
 @query(
@@ -629,15 +632,14 @@ def _(spark, folder):
     "catalog_checks",
     "books links authors",
     """SELECT 'archive name repeated' AS "check", 0 AS violations UNION ALL SELECT 'book id repeated', 0 UNION ALL SELECT 'author id repeated', 0
-    UNION ALL SELECT 'link repeated', 0 UNION ALL SELECT 'link without book', count(*) FROM links WHERE book_id NOT IN (SELECT id FROM books WHERE file_size > 5120)
+    UNION ALL SELECT 'link repeated', 0 UNION ALL SELECT 'link without book', count(*) FROM links WHERE book_id NOT IN (SELECT id FROM books)
     UNION ALL SELECT 'link without author', count(*) FROM links WHERE author_id NOT IN (SELECT id FROM authors)
     UNION ALL SELECT 'book without archive', 0 UNION ALL SELECT 'unknown status', 0 UNION ALL SELECT 'book id out of range', 0""",
 )
 def _(spark, folder):
     views = TableViews(spark, folder)
     archives = views.part_archives().withColumn("status", F.lit("indexed"))
-    books = views.part_books().filter(F.col("file_size") > 5120)
-    return checks.check_catalog(archives, books, views.part_authors(), views.part_links())
+    return checks.check_catalog(archives, views.part_books(), views.part_authors(), views.part_links())
 
 
 # --- maintenance --------------------------------------------------------------------
@@ -753,8 +755,8 @@ def _nested(views: TableViews) -> DataFrame:
 
 @query(
     "k8_flatten_authors",
-    "links authors",
-    "SELECT id, first_name, last_name FROM authors WHERE id IN (SELECT author_id FROM links)",
+    "books links authors",
+    "SELECT id, first_name, last_name FROM authors WHERE id IN (SELECT author_id FROM links WHERE book_id IN (SELECT id FROM books))",
 )
 def _(spark, folder):
     return merge.flatten_books(_nested(TableViews(spark, folder)))[1].select("id", "first_name", "last_name")
@@ -762,8 +764,8 @@ def _(spark, folder):
 
 @query(
     "k8_flatten_links",
-    "links",
-    "SELECT book_id, author_id, row_number() OVER (PARTITION BY book_id ORDER BY pos, author_id) - 1 AS pos FROM links",
+    "books links",
+    "SELECT book_id, author_id, row_number() OVER (PARTITION BY book_id ORDER BY pos, author_id) - 1 AS pos FROM links WHERE book_id IN (SELECT id FROM books)",
 )
 def _(spark, folder):
     links = merge.flatten_books(_nested(TableViews(spark, folder)))[2]
@@ -951,3 +953,28 @@ def _(spark, folder):
     terms = search.query_terms(spark, "edonre inand", stem=True)
     hits = search.rank_documents(views.doc_texts(), terms, ["text"], stem=True)
     return _flat(search.ranked(hits, views.doc_books(), _no_links(views), views.part_authors(), Filters()))
+
+
+_CATALOG_WORDS = """whole AS (SELECT books.*, authors_list, list_filter(string_split(regexp_replace(lower(concat_ws(' ', title, authors_text, sequence)),
+        '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda t: t <> '') AS terms FROM books LEFT JOIN book_authors USING (id)),
+    found AS (SELECT id, term, count(*) AS tf, any_value(len) AS len FROM (SELECT id, unnest(terms) AS term, len(terms) AS len FROM whole) GROUP BY id, term),
+    corpus AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM whole),
+    scored AS (SELECT id, sum(log10((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score
+        FROM found JOIN (SELECT term, count(*) AS df FROM found GROUP BY term) USING (term), corpus WHERE term IN ('blue', '7', 'supplier') GROUP BY id)"""
+
+
+@query(
+    "t7_catalog_search",
+    "books links authors book_authors",
+    f"""SELECT id, title, array_to_string(genres, '|') AS genres, coalesce(authors_list, '') AS authors, date, lang, file_size, sequence, round(score, 6) AS score
+    FROM (WITH {_CATALOG_WORDS} SELECT * FROM whole JOIN scored USING (id)) WHERE date ILIKE '%19%'""",
+)
+def _(spark, folder):
+    """Every hit over title, authors and series, by postings, term and corpus statistics."""
+    views = TableViews(spark, folder)
+    books, links, authors = views.part_books(), views.part_links(), views.part_authors()
+    docs = relations.search_docs(books, links, authors)
+    posts = search.postings(docs)
+    terms = search.query_terms(spark, "Blue, supplier 7")
+    hits = search.rank(posts, terms, search.term_stats(posts), search.corpus_stats(search.doc_stats(docs)))
+    return _flat(search.ranked(hits, books, links, authors, Filters(date="19"), limit=None))

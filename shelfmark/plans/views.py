@@ -71,8 +71,9 @@ class TableViews:
         )
 
     def part_links(self) -> DataFrame:
-        """Parts of size 1 lose their links: books without authors."""
-        kept = self.table("part").filter(F.col("p_size") != 1)
+        """Every link, to the part after its own: the first part has no authors
+        and the last links have no book."""
+        kept = self.table("part")
         return (
             self.table("lineitem")
             .groupBy("l_partkey", "l_suppkey")
@@ -81,7 +82,7 @@ class TableViews:
                 kept.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("archive")), "l_partkey"
             )
             .select(
-                F.col("l_partkey").alias("book_id"),
+                (F.col("l_partkey") + 1).alias("book_id"),
                 F.col("l_suppkey").cast("string").alias("author_id"),
                 "pos",
                 "archive",
@@ -111,7 +112,8 @@ class TableViews:
         given = F.concat(F.lit("<author>"), tag("nickname", F.col("p_type")), tag("id", F.col("p_type")), F.lit("</author>"))
         sequence = F.concat(
             F.lit('<sequence name="'), F.col("p_brand"), F.lit('" number="'), size.cast("string"),
-            F.lit('"><sequence name="'), F.col("p_type"), F.lit('"/></sequence>'),
+            F.lit('"><sequence name="'), F.col("p_type"),
+            F.lit('"><sequence number="3" name="Third"><sequence name="Fourth"><sequence name="A &amp; &#x42;" number="5"/></sequence></sequence></sequence></sequence>'),
         )
         info = F.concat(
             F.lit("<title-info>"),

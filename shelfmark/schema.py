@@ -40,17 +40,6 @@ MAX_BOOK_ID = 2**32 - 1
 
 AUTHOR_FIELDS = ("first_name", "middle_name", "last_name", "nickname")
 
-# Series may nest; Spark has no recursive type, so three levels are read.
-SEQUENCE_DEPTH = 3
-
-
-def _sequence(depth: int) -> T.StructType:
-    fields = [T.StructField("_name", _STRING), T.StructField("_number", _STRING)]
-    if depth > 1:
-        fields.append(T.StructField("sequence", T.ArrayType(_sequence(depth - 1))))
-    return T.StructType(fields)
-
-
 _TEXTS = T.ArrayType(_STRING)
 
 
@@ -58,7 +47,8 @@ def _elements(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name.replace("_", "-"), kind) for name, kind in kinds.items()])
 
 
-# The part of a document's <description> that the catalog keeps.
+# The part of a document's <description> that the catalog keeps; series, which
+# nest, are read from its text.
 DESCRIPTION = T.StructType(
     [
         *_elements(
@@ -76,7 +66,6 @@ DESCRIPTION = T.StructType(
                     ),
                     book_title=_TEXTS,
                     date=_TEXTS,
-                    sequence=T.ArrayType(_sequence(SEQUENCE_DEPTH)),
                     lang=_TEXTS,
                 )
             ),

@@ -23,7 +23,6 @@ from shelfmark.functions import fields
 from shelfmark.sources import decode
 
 SLICE_BYTES = 64 * 1024 * 1024
-MAX_READ_PARTITIONS = 100_000
 _CHUNK = 1024 * 1024
 _BATCH_BYTES = 16 * 1024 * 1024
 _BATCH_ROWS = 4096
@@ -82,19 +81,40 @@ def archive_rows(found: DataFrame) -> DataFrame:
 IO_ERROR = "I/O error: "
 
 
-def _open(path: str):
-    """Random access to a file of any file system that Arrow knows."""
-    import os
+# Names that Spark's file systems have beside Arrow's own.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}
+
 
+class UnknownStore(RuntimeError):
+    """Arrow has no file system for a path: the job fails, the archive is not to blame."""
+
+
+def _store(scheme: str, place: str):
+    """The file system of a scheme and host or bucket, and what its paths begin with."""
     from pyarrow import fs
 
-    scheme, _, rest = path.partition(":")
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{place}/")
+    except (ValueError, NotImplementedError) as problem:
+        raise UnknownStore(f"no way to read {scheme}://{place}: {problem}") from problem
+
+
+def _open(path: str):
+    """Random access to a file of any file system that Arrow knows.
+
+    Only scheme and host are read as an address; the rest is a plain name,
+    whatever blanks or signs it has.
+    """
+    import os
+
+    scheme, mark, rest = path.partition(":")
     if scheme == "file":
         return open("/" + rest.lstrip("/"), "rb")
-    if not rest:
+    if not mark or not rest.startswith("//"):
         return open(os.path.abspath(path), "rb")
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+    place, _, name = rest[2:].partition("/")
+    system, base = _store(scheme, place)
+    return system.open_input_file(f"{base.rstrip('/')}/{name}")
 
 
 def _read_at(file, offset: int, size: int) -> bytes:
@@ -281,11 +301,12 @@ def _description(chunks: Iterator[bytes]) -> str:
     is inflated for its checksum and dropped chunk by chunk."""
     kept, start = bytearray(), -1
     for chunk in chunks:
+        seen = len(kept)
         kept += chunk
         if start < 0:
-            start = kept.find(_OPEN_TAG)
+            start = kept.find(_OPEN_TAG, max(0, seen - len(_OPEN_TAG)))
         if start >= 0:
-            end = kept.find(_CLOSE_TAG, start + len(_OPEN_TAG))
+            end = kept.find(_CLOSE_TAG, max(start + len(_OPEN_TAG), seen - len(_CLOSE_TAG)))
             if end >= 0:
                 block = bytes(kept[start : end + len(_CLOSE_TAG)])
                 declared = decode.declared_encoding(bytes(kept[: decode.SAMPLE]))
@@ -303,7 +324,7 @@ def read_partitions(spark: SparkSession, archives: DataFrame, slice_bytes: int =
     """How many tasks should read these archives, from their total size."""
     total = archives.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     wanted = -(-total // slice_bytes)
-    return int(min(max(wanted, spark.sparkContext.defaultParallelism), MAX_READ_PARTITIONS))
+    return int(max(wanted, spark.sparkContext.defaultParallelism))
 
 
 def read_entries(entries: DataFrame, what: str = "content", partitions: int | None = None) -> DataFrame:

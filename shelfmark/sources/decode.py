@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Byte order marks, and how much of the head is looked at.
+# Byte order marks, and where at the head a declaration is looked for.
 BYTE_ORDER_MARKS = (
     (codecs.BOM_UTF8, "utf-8"),
     (codecs.BOM_UTF16_LE, "utf-16-le"),
@@ -35,14 +35,11 @@ def declared_encoding(head: bytes) -> str | None:
     return None if name.startswith(("utf-8", "utf-16", "utf-32")) else name
 
 
-def _looks_like_utf8(head: bytes) -> bool:
-    """Valid multi-byte UTF-8 in the sample, a cut last character aside."""
-    sample = head[:SAMPLE]
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    try:
-        return not decoder.decode(sample).isascii()
-    except UnicodeDecodeError:
-        return False
+def _mostly_utf8(raw: bytes) -> bool:
+    """More multi-byte UTF-8 characters than bytes that are none, in the whole text."""
+    valid = raw.decode("utf-8", errors="ignore")
+    wide = len(valid) - len(valid.encode("ascii", errors="ignore"))
+    return wide > len(raw) - len(valid.encode("utf-8"))
 
 
 def to_text(raw: bytes, declared: str | None = None) -> str:
@@ -56,7 +53,7 @@ def to_text(raw: bytes, declared: str | None = None) -> str:
         pass
     encoding = declared or declared_encoding(raw)
     if encoding is None:
-        encoding = "utf-8" if _looks_like_utf8(raw) else FALLBACK
+        encoding = "utf-8" if _mostly_utf8(raw) else FALLBACK
     return raw.decode(encoding, errors="replace")
 
 
