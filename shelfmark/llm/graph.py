@@ -32,24 +32,33 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the least node that the edges (a, b; 64-bit numbers) connect it with.
 
-    Each round a node follows its least neighbour, and that one's, and the edges
-    are drawn anew between the nodes so reached, until none is left. Rounds are
-    written to the shared folder; the driver learns only whether edges are left.
-    A node with many neighbours meets them as partial minima.
+    Each round a node follows the neighbour that a digest of the round ranks
+    first, and that one's, and the edges are drawn anew between the nodes so
+    reached, until none is left. By a new order each round a share of the nodes
+    goes, whatever the graph: following the least would shorten a chain of
+    ascending nodes by two. Then each round's steps are followed by those of the
+    later ones, which are ever fewer. Rounds are written to the shared folder;
+    the driver learns only whether edges are left. A node with many neighbours
+    meets them as partial minima.
     """
-    forth = edges.select("a", "b").filter("a <> b")
-    left = keep(forth.unionByName(forth.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = left.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
-    first = True
+    # Both ways from one row: a union of the edges with themselves would make them twice.
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    left = keep(edges.filter("a <> b").select(ways.alias("_way")).select("_way.a", "_way.b").distinct(), "edges")
+    rounds = []
     while left.limit(1).count():
-        near = keep(left.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("up")), "near")
+        rank = lambda name: F.xxhash64(name, F.lit(len(rounds)))
+        first = left.groupBy("a").agg(F.min_by("b", rank("b")).alias("_b"))
+        near = first.select(F.col("a").alias("node"), F.when(rank("_b") < rank("a"), F.col("_b")).otherwise(F.col("a")).alias("up"))
         roots = keep(near.join(near.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root"), "roots")
-        if first:
-            labels, first = roots.withColumnRenamed("root", "label"), False
-        else:
-            moved = labels.join(roots.withColumnRenamed("node", "label"), "label", "left")
-            labels = keep(moved.select("node", F.coalesce("root", "label").alias("label")), "labels")
-        end = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
+        rounds.append(roots)
+        end = lambda name: rounds[-1].select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
         drawn = left.join(end("a"), "a").join(end("b"), "b").filter("_a <> _b")
         left = keep(drawn.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "edges")
-    return labels
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("a").alias("label"))
+    last = rounds.pop()
+    while rounds:
+        later = last.select(F.col("node").alias("root"), F.col("root").alias("_root"))
+        last = rounds.pop().join(later, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    found = keep(last, "roots")
+    return found.join(found.groupBy("root").agg(F.min("node").alias("label")), "root").select("node", "label")

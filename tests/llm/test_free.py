@@ -30,6 +30,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    """Ascending neighbours and a node with many: rounds grow with the logarithm, and labels are least nodes."""
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 200)]
+    found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1200), 1000)}
+
+
 def classes_by_hand(texts):
     sets = []
     for text in texts:
