@@ -4,7 +4,7 @@ A book is the set of its n-grams. N-grams are hashed into groups; the counts by
 group are the book's point, and two sets share at most the sum of the smaller
 count of each group. Points are indexed in R-trees, whose nodes keep the largest
 count of each group; a pair of nodes, then of points, is passed over when the
-bound falls short of what the Jaccard coefficient needs. Surviving pairs are
+bound falls short of what the Jaccard coefficient needs. All surviving pairs are
 verified on their sets.
 
 One tree over all books would put everything in one place, so books are first
@@ -37,8 +37,11 @@ LEAF_BOOKS, LEAF_GRAMS = 128, 100_000
 BUCKET_BYTES = 4_000_000
 
 PROFILE = "id long, n long, hi long, lo long"
-POINT = "family long, id long, n long, counts binary, grams binary"
-LEAF = "family long, leaf long, least long, most long, top array<int>, ids binary, sizes binary, counts binary, grams binary"
+POINT = "family long, id long, n long, hi long, lo long, counts binary, grams binary"
+LEAF = "family long, leaf long, least long, most long, top array<int>, ids binary, keys binary, sizes binary, counts binary, grams binary"
+BLOBS = ("ids", "keys", "sizes", "counts", "grams")
+# Columns of an incidence matrix that are multiplied at once.
+BLOCK_GRAMS = 8192
 
 
 def gram_sets(texts: pa.Array, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +227,11 @@ def pointer(ngram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     if keys[0][i] == hi[at + i] and keys[1][i] == lo[at + i]:
                         own = grams[bounds[i] : bounds[i + 1]]
                         counts = np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                        rows.append((int(family[at + i]), int(ids[at + i]), len(own), counts.astype(">u4").tobytes(), own.tobytes()))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                columns = zip(*rows, strict=True) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["family", "id", "n", "counts", "grams"])
+                        rows.append((int(family[at + i]), int(ids[at + i]), len(own), int(keys[0][i]), int(keys[1][i]), counts.astype(">u4").tobytes(), own.tobytes()))
+                kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary())
+                columns = zip(*rows, strict=True) if rows else [()] * 7
+                names = ["family", "id", "n", "hi", "lo", "counts", "grams"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -244,13 +248,14 @@ def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = {
             "family": held[0]["family"], "leaf": number, "least": min(p["n"] for p in held), "most": max(p["n"] for p in held),
             "top": counts.max(axis=0).astype(np.int32).tolist(), "ids": np.array([p["id"] for p in held], np.int64).tobytes(),
+            "keys": np.array([p["lo"] for p in held], np.int64).tobytes(),
             "sizes": np.array([p["n"] for p in held], np.int64).tobytes(), "counts": counts.tobytes(), "grams": b"".join(p["grams"] for p in held),
         }
         held.clear()
         return out
 
     schema = pa.schema(
-        [(c, pa.int64()) for c in ("family", "leaf", "least", "most")] + [("top", pa.list_(pa.int32()))] + [(c, pa.binary()) for c in ("ids", "sizes", "counts", "grams")]
+        [(c, pa.int64()) for c in ("family", "leaf", "least", "most")] + [("top", pa.list_(pa.int32()))] + [(c, pa.binary()) for c in BLOBS]
     )
     for batch in batches:
         for point in batch.to_pylist():
@@ -268,59 +273,92 @@ class Members:
 
     def __init__(self, row: dict, suffix: str = ""):
         self.ids = np.frombuffer(row["ids" + suffix], np.int64)
+        self.keys = np.frombuffer(row["keys" + suffix], np.int64)
         self.sizes = np.frombuffer(row["sizes" + suffix], np.int64)
         self.counts = np.frombuffer(row["counts" + suffix], np.uint32).reshape(len(self.ids), GROUPS).astype(np.int32)
         self.grams = np.split(np.frombuffer(row["grams" + suffix], np.uint64), self.sizes.cumsum()[:-1])
 
 
-def linked(one: Members, other: Members, percent: int) -> list[tuple[int, int]]:
-    """Edges that connect what is linked between two leaves, or within one; pairs already connected are passed over."""
-    same = one is other
-    parent = {int(i): int(i) for i in (*one.ids, *other.ids)}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    edges = []
+def shared_grams(one: Members, other: Members, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many grams the sets of each pair share: set by set or, where many pairs meet, by products of incidence matrices."""
+    rows, row = np.unique(left, return_inverse=True)
+    columns, column = np.unique(right, return_inverse=True)
+    mine, theirs = [one.grams[i] for i in rows], [other.grams[j] for j in columns]
+    total = sum(map(len, mine)) + sum(map(len, theirs))
+    distinct = np.unique(np.concatenate(mine))
+    # Rough nanoseconds of either way.
+    if 30 * int((one.sizes[left] + other.sizes[right]).sum()) <= 100 * total + 0.2 * len(rows) * len(columns) * len(distinct):
+        pairs = zip(left.tolist(), right.tolist(), strict=True)
+        return np.array([len(np.intersect1d(one.grams[i], other.grams[j], assume_unique=True)) for i, j in pairs], np.int64)
+
+    def incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        grams = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(distinct, grams), len(distinct) - 1)
+        known = distinct[at] == grams
+        order = np.argsort(at[known], kind="stable")
+        return owner[known][order], at[known][order]
+
+    (a, at_a), (b, at_b) = incidence(mine), incidence(theirs)
+    shared = np.zeros((len(rows), len(columns)))
+    for start in range(0, len(distinct), BLOCK_GRAMS):
+        width = min(BLOCK_GRAMS, len(distinct) - start)
+        blocks = []
+        for owner, at, size in ((a, at_a, len(rows)), (b, at_b, len(columns))):
+            part = slice(*np.searchsorted(at, (start, start + width)))
+            block = np.zeros((size, width), np.float32)
+            block[owner[part], at[part] - start] = 1
+            blocks.append(block)
+        shared += blocks[0] @ blocks[1].T
+    return shared[row, column].astype(np.int64)
+
+
+def linked(one: Members, other: Members, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all linked pairs of two leaves, or of one with itself."""
+    left, right = [], []
     for i in range(len(one.ids)):
-        start = i + 1 if same else 0
-        sizes = other.sizes[start:]
-        need = -(-percent * (one.sizes[i] + sizes) // (100 + percent))
+        start = i + 1 if one is other else 0
+        need = -(-percent * (one.sizes[i] + other.sizes[start:]) // (100 + percent))
         bound = np.minimum(one.counts[i], other.counts[start:]).sum(axis=1)
-        for j in (np.flatnonzero(bound >= need) + start).tolist():
-            a, b = int(one.ids[i]), int(other.ids[j])
-            if root(a) == root(b):
-                continue
-            both = np.intersect1d(one.grams[i], other.grams[j], assume_unique=True)
-            if (100 + percent) * len(both) >= percent * (one.sizes[i] + other.sizes[j]):
-                parent[root(a)] = root(b)
-                edges.append((a, b))
-    return edges
-
-
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    columns = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
-
-
-def within(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        found = np.flatnonzero(bound >= need) + start
+        left.append(np.full(len(found), i))
+        right.append(found)
+    a, b = np.concatenate(left), np.concatenate(right)
+    if not len(a):
+        return a, b
+    good = (100 + percent) * shared_grams(one, other, a, b) >= percent * (one.sizes[a] + other.sizes[b])
+    return a[good], b[good]
+
+
+def _told(one: Members, other: Members, percent: int, every: bool) -> pa.RecordBatch:
+    """All linked pairs as (a, b, 1), or fewer rows: edges that connect the same ids as (a, b, 0) and each set's links as (lo, NULL, n)."""
+    i, j = linked(one, other, percent)
+    a, b = one.ids[i], other.ids[j]
+    if every:
+        columns = a, b, np.ones(len(a), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
+    a, b = forest(a, b)
+    keys, counts = np.unique(np.concatenate([one.keys[i], other.keys[j]]), return_counts=True)
+    columns = np.append(a, keys), np.append(b, keys), np.append(np.zeros(len(a), np.int64), counts)
+    no_end = np.arange(len(a) + len(keys)) >= len(a)
+    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=no_end), pa.array(columns[2])], names=["a", "b", "n"])
+
+
+def within(percent: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 members = Members(row)
-                yield _edges(linked(members, members, percent))
+                yield _told(members, members, percent, every)
 
     return run
 
 
-def between(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def between(percent: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield _edges(linked(Members(row), Members(row, "_2"), percent))
+                yield _told(Members(row), Members(row, "_2"), percent, every)
 
     return run
 
@@ -335,15 +373,20 @@ def candidate_families(books: DataFrame, sets: DataFrame, ngram: int, percent: i
     return components(edges).select(F.col("node").alias("lo"), F.col("label").alias("family"))
 
 
-def links(books: DataFrame, sets: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) between representatives of different sets; together they connect all that is linked."""
+def links(books: DataFrame, sets: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, every: bool = True) -> DataFrame:
+    """All links (a, b, n = 1) between representatives of different sets.
+
+    Without `every` the same pairs are verified, but a large group of near
+    copies is told in fewer rows: edges (a, b, 0) that connect the same ids, and
+    (lo, NULL, n) where the set of that digest has n more links.
+    """
     members = sets.join(candidate_families(books, sets, ngram, percent), "lo").select("id", "family", "hi", "lo")
     texts = books.select("id", "text").join(members, "id").select("family", "id", "hi", "lo", "text")
     points = keep(texts.mapInArrow(pointer(ngram), POINT), "points")
-    order = ["family", "n", "counts", "id"]
+    order = ["family", "n", "counts", "id", "hi", "lo"]
     sorted_points = points.repartitionByRange(*order).sortWithinPartitions(*order)
     tree = keep(sorted_points.mapInArrow(leaves, LEAF), "leaves")
-    inside = tree.select("ids", "sizes", "counts", "grams").mapInArrow(within(percent), "a long, b long")
+    inside = tree.select(*BLOBS).mapInArrow(within(percent, every), "a long, b long, n long")
     # Leaves of one family, the smaller sets left: first by size, then by the bound.
     node = tree.select("family", "leaf", "least", "most", "top")
     right = node.select("family", *[F.col(c).alias(f"{c}_2") for c in ("leaf", "least", "most", "top")])
@@ -351,14 +394,14 @@ def links(books: DataFrame, sets: DataFrame, ngram: int = NGRAM, percent: int =
     near = (F.col("leaf") < F.col("leaf_2")) & (100 * F.col("most") >= percent * F.col("least_2")) & (100 * F.col("most_2") >= percent * F.col("least"))
     reach = (100 + percent) * shared >= percent * (F.col("least") + F.col("least_2"))
     pairs = node.join(right, "family").filter(near).filter(reach).select("leaf", "leaf_2")
-    blobs = tree.select("leaf", "ids", "sizes", "counts", "grams")
+    blobs = tree.select("leaf", *BLOBS)
     full = pairs.join(blobs, "leaf").join(blobs.select(*[F.col(c).alias(f"{c}_2") for c in blobs.columns]), "leaf_2")
-    across = full.drop("leaf", "leaf_2").mapInArrow(between(percent), "a long, b long")
+    across = full.drop("leaf", "leaf_2").mapInArrow(between(percent, every), "a long, b long, n long")
     return inside.unionByName(across)
 
 
 def near_copies(books: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of `books` (id, text; others ignored): id, n_grams and component.
+    """One row for each row of `books` (id, text; others ignored): id, n_grams, component and n_links.
 
     n_grams is the size of the set of word n-grams of the whole text (A-Z in
     lower case; a shorter text is one gram). Books link when 100 times the shared
@@ -366,13 +409,21 @@ def near_copies(books: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     reachable by links, itself included. NULL and empty texts have no grams and
     are linked with nothing. A row without id bridges nothing; it gets the
     component of rows with the same set, else NULL. Repeated rows and equal sets
-    are one set until the end. No books give no rows; no link is left out.
+    are one set until the end. n_links counts the different sets that a book's
+    set links with, its own not among them; books of an equal set have the same
+    number. No books give no rows; no link is left out.
     """
     plain = books.select(F.col("id").cast("long").alias("id"), "text")
     profile = keep(plain.mapInArrow(profiler(ngram), PROFILE), "profiles")
     sets = keep(profile.filter("n > 0 and id is not null").groupBy("hi", "lo", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "sets")
-    classes = components(links(plain, sets, ngram, percent))
-    joined = sets.join(classes.withColumnRenamed("node", "id"), "id", "left")
-    merged = keep(joined.filter("copies > 1 or label is not null").select("hi", "lo", F.coalesce("label", "id").alias("component")), "components")
-    found = profile.join(merged, ["hi", "lo"], "left")
-    return found.select("id", F.col("n").alias("n_grams"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component"))
+    found = keep(links(plain, sets, ngram, percent, every=False), "links")
+    classes = components(found.filter("b is not null").select("a", "b"))
+    counts = found.filter("b is null").groupBy(F.col("a").alias("lo")).agg(F.sum("n").alias("n_links"))
+    joined = sets.join(classes.withColumnRenamed("node", "id"), "id", "left").join(counts, "lo", "left")
+    linked_sets = joined.filter("copies > 1 or label is not null or n_links is not null")
+    merged = keep(linked_sets.select("hi", "lo", F.coalesce("label", "id").alias("component"), "n_links"), "components")
+    told = profile.join(merged, ["hi", "lo"], "left")
+    return told.select(
+        "id", F.col("n").alias("n_grams"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+    )
