@@ -237,7 +237,10 @@ def pointer(ngram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted points to R-tree leaves: neighbours of one family, with the largest count of each group."""
+    """Sorted points to R-tree leaves: neighbours of one family, with the largest count of each group.
+
+    A row that repeats the id and the set of the one before is left out.
+    """
     number = TaskContext.get().partitionId() << 32
     held: list[dict] = []
 
@@ -257,13 +260,17 @@ def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [(c, pa.int64()) for c in ("family", "leaf", "least", "most")] + [("top", pa.list_(pa.int32()))] + [(c, pa.binary()) for c in BLOBS]
     )
+    last = None
     for batch in batches:
         for point in batch.to_pylist():
+            key = tuple(point[c] for c in ("family", "id", "hi", "lo"))
+            if key == last:
+                continue
+            last = key
             full = len(held) >= LEAF_BOOKS or sum(p["n"] for p in held) + point["n"] > LEAF_GRAMS
             if held and (full or held[0]["family"] != point["family"]):
                 yield pa.RecordBatch.from_pylist([leaf()], schema)
-            if not held or held[-1]["id"] != point["id"]:
-                held.append(point)
+            held.append(point)
     if held:
         yield pa.RecordBatch.from_pylist([leaf()], schema)
 

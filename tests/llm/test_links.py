@@ -1,4 +1,4 @@
-"""All links of the n-gram join against brute force."""
+"""All links of the n-gram join against brute force, and ids that repeat with other texts."""
 
 from __future__ import annotations
 
@@ -51,3 +51,17 @@ def test_links_returns_every_pair(spark):
     sets = profile.groupBy("hi", "lo", "n").agg(F.min("id").alias("id"))
     pairs = [(r["a"], r["b"]) for r in copies.links(frame, sets).collect()]
     assert {(max(p), min(p)) for p in pairs} == linked_by_hand(texts) and len(pairs) == len(set(pairs))
+
+
+def test_other_text_of_a_repeated_id_keeps_its_links(spark):
+    base = [f"w{i}" for i in range(100)]
+    changed = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(base))
+    # 1's first text links with nothing but its second, which alone links with 2.
+    rows = [(1, changed(0)), (1, changed(50)), (2, changed(50, 70))]
+    found = copies.near_copies(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert sorted((r["id"], r["component"], r["n_links"]) for r in found) == sorted((1, 1, n) for n in expected_links(rows)[:2]) + [(2, 1, expected_links(rows)[2])]
+
+
+def expected_links(rows):
+    by_hand = linked_by_hand([t for _, t in rows])
+    return [sum(i in pair for pair in by_hand) for i in range(len(rows))]
