@@ -2,8 +2,8 @@
 
 A book is the set of its n-grams. N-grams are hashed into groups; the counts by
 group are the book's point, and two sets share at most the sum of the smaller
-count of each group. Points are indexed in R-trees, whose nodes keep the largest
-count of each group; a pair of nodes, then of points, is passed over when the
+count of each group. Points are indexed in R-trees of one level, whose leaves keep the largest
+count of each group; a pair of leaves, then of points, is passed over when the
 bound falls short of what the Jaccard coefficient needs. All surviving pairs are
 verified on their sets.
 
