@@ -56,8 +56,9 @@ def test_links_returns_every_pair(spark):
 def test_other_text_of_a_repeated_id_keeps_its_links(spark):
     base = [f"w{i}" for i in range(100)]
     changed = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(base))
-    # 1's first text links with nothing but its second, which alone links with 2.
-    rows = [(1, changed(0)), (1, changed(50)), (2, changed(50, 70))]
+    # By size, 1's second text follows its first; it alone links with 2.
+    rows = [(1, " ".join(changed(20).split()[:98])), (1, " ".join(base[:99])), (2, changed(60))]
+    assert expected_links(rows) == [1, 2, 1]
     found = copies.near_copies(spark.createDataFrame(rows, "id long, text string")).collect()
     assert sorted((r["id"], r["component"], r["n_links"]) for r in found) == sorted((1, 1, n) for n in expected_links(rows)[:2]) + [(2, 1, expected_links(rows)[2])]
 
