@@ -3,7 +3,7 @@ from __future__ import annotations
 import zipfile
 from pathlib import Path
 
-from conftest import book, write_zip
+from builders import book, write_zip
 
 from shelfmark.operators.filters import Filters
 from shelfmark.sources.synthetic import synthetic_books, write_synthetic_archives

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import book
+from builders import book
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fields, markup, naming, text

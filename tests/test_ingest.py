@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import zipfile
 
-from conftest import book, write_zip
+from builders import book, write_zip
 from pyspark.sql import functions as F
 
 from shelfmark.operators.filters import Filters
