@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import queries_free, queries_native
+from shelfmark.llm import queries_free, queries_mined, queries_native
 
-QUERIES = {**queries_native.QUERIES, **queries_free.QUERIES}
+QUERIES = {**queries_native.QUERIES, **queries_free.QUERIES, **queries_mined.QUERIES}
