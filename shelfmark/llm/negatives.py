@@ -52,6 +52,11 @@ class Residues:
             self.parts.append(np.where(r > m // 2, r - m, r).astype(np.float32))
 
 
+def _modulo(x: np.ndarray, m: int) -> np.ndarray:
+    """Numpy divides whole numbers by one divisor many times faster than it takes remainders."""
+    return x - x // m * m
+
+
 def scores(left: Residues, a: slice, right: Residues, b: slice, moduli: list[int]) -> np.ndarray:
     """Exact inner products of rows a of `left` with rows b of `right`.
 
@@ -60,17 +65,20 @@ def scores(left: Residues, a: slice, right: Residues, b: slice, moduli: list[int
     """
     product, value = 1, None
     for m, x, y in zip(moduli, left.parts, right.parts, strict=True):
-        residue = np.zeros((len(x[a]), len(y[b])), np.int32)
+        whole = np.zeros((len(x[a]), len(y[b])), np.int32)
         for at in range(0, x.shape[1], COMPONENTS):
-            residue += (x[a, at : at + COMPONENTS] @ y[b, at : at + COMPONENTS].T).astype(np.int32)
-            residue -= residue // m * m
-        whole = residue.astype(np.int64)
+            whole += (x[a, at : at + COMPONENTS] @ y[b, at : at + COMPONENTS].T).astype(np.int32)
+            whole = _modulo(whole, m)
         if value is None:
             value = whole
         else:
-            value += product * ((whole - value % m) * pow(product, -1, m) % m)
+            if product * m >= 1 << 31:
+                value = value.astype(np.int64, copy=False)
+            digit = _modulo(_modulo(whole - value, m) * pow(product, -1, m), m)
+            value += product * digit
         product *= m
-    return value - product * (value > product // 2)
+    value -= product * (value > product // 2)
+    return value.astype(np.int64, copy=False)
 
 
 def window(positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
