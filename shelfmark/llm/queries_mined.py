@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import audit, negatives
+from shelfmark.llm import audit, negatives, toxicity
 from shelfmark.llm.queries_native import documents_as_books
 
 
+LEAST_TOXIC = 0.3
+
+
+def op11_toxic_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of the rows held out are not read."""
+    held_out = lambda column: F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    books = documents_as_books(spark, folder)
+    model = toxicity.fit(books, labels.filter(~held_out("doc_id")).select(F.col("doc_id").alias("id"), "toxic"))
+    found = toxicity.find(books, model)
+    return found.select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= LEAST_TOXIC).cast("int").alias("predicted"),
+        F.size("passages").cast("long").alias("n_passages"),
+        F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"))), ",").alias("passages"),
+    )
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     """Every seventh row has its label changed first."""
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
@@ -55,6 +72,7 @@ FROM every QUALIFY part = 'pair' OR rank <= 200"""
 
 
 QUERIES = {
+    "op11_toxic_passages": (op11_toxic_passages, None),
     "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
     "op13_source_divergence": (op13_source_divergence, OP13_SQL),
 }

@@ -58,7 +58,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words(texts: pa.Array, split_signs: bool = False, lower: bool = True) -> Words:
     """Words of each text; with `split_signs` also cut where an ASCII letter meets an ASCII sign or digit.
 
-    `lower` folds A-Z. Words are hashed as polynomials modulo 2^64, then mixed.
+    `lower` folds A-Z. A word's hash adds up its blocks of 8 bytes, each mixed
+    with its place first, so that no rule of arithmetic makes two words meet.
     """
     raw, bounds = buffers(texts)
     data = LOWER[raw] if lower else raw
@@ -79,9 +80,11 @@ def words(texts: pa.Array, split_signs: bool = False, lower: bool = True) -> Wor
     at = np.searchsorted(kept, start)
     length = np.diff(np.append(at, len(kept)))
     inside = np.arange(len(kept)) - np.repeat(at, length)
-    powers = np.full(int(length.max()), _BASE, dtype=np.uint64).cumprod()
-    terms = (data[kept].astype(np.uint64) + np.uint64(1)) * powers[inside]
-    return Words(data, start, length, mixed(np.add.reduceat(terms, at)), np.searchsorted(start, bounds))
+    block = np.flatnonzero(inside % 8 == 0)
+    bytes8 = np.add.reduceat(data[kept].astype(np.uint64) << (8 * (inside % 8)).astype(np.uint64), block)
+    placed = mixed(bytes8 ^ mixed((inside[block] // 8 + 1).astype(np.uint64) * _BASE))
+    total = np.add.reduceat(placed, np.searchsorted(block, at))
+    return Words(data, start, length, mixed(total + length.astype(np.uint64)), np.searchsorted(start, bounds))
 
 
 def chunks(texts: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, pa.Array]]:
