@@ -120,3 +120,22 @@ def stem_russian(frame: DataFrame, column: str) -> DataFrame:
     stem = F.array(F.coalesce(F.concat(start, rest), word))
     others = [name for name in frame.columns if name != column]
     return out.select(*others, F.explode_outer(stem).alias(column))
+
+
+def term_counts(terms: Column) -> Column:
+    """array<struct<term, tf>> of an array of terms: lengths of the runs of equal terms once it is sorted.
+
+    Each step is linear and the sorted array is made once, so it is counted
+    within the row, without a shuffle.
+    """
+
+    def counted(ordered: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        ended = lambda all_: F.transform(
+            all_, lambda at, k: F.struct(F.get(ordered, at).alias("term"), (F.coalesce(F.get(all_, k + 1), F.size(ordered)) - at).cast("bigint").alias("tf"))
+        )
+        return F.transform(F.array(starts), ended)[0]
+
+    runs = F.transform(F.array(F.sort_array(terms)), counted)[0]
+    return F.when(F.size(terms) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))

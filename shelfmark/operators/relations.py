@@ -12,38 +12,55 @@ from shelfmark.schema import AUTHOR_FIELDS
 _AUTHOR = "array<struct<id:string," + ",".join(f"{name}:string" for name in AUTHOR_FIELDS) + ">>"
 
 
-def authors_per_book(links: DataFrame, authors: DataFrame) -> DataFrame:
+def authors_per_book(links: DataFrame, authors: DataFrame, *also: str) -> DataFrame:
     """(id, authors): the authors of each linked book in link order.
 
+    `also` names columns of the links that tell books of one id apart.
+
     The join key is the author: a name that holds a large share of the links
     is split at run time, because the aggregate after the join shuffles by
     book anyway. A book's own list is the result row and stays whole.
     """
     people = authors.select(F.col("id").alias("author_id"), *AUTHOR_FIELDS)
-    joined = links.select("book_id", "author_id", "pos").join(people, "author_id")
+    joined = links.select("book_id", "author_id", "pos", *also).join(people, "author_id")
     ordered = F.array_sort(
         F.collect_list(F.struct("pos", F.col("author_id").alias("id"), *AUTHOR_FIELDS))
     )
     listed = F.transform(
         ordered, lambda a: F.struct(a["id"].alias("id"), *(a[name].alias(name) for name in AUTHOR_FIELDS))
     )
-    return joined.groupBy(F.col("book_id").alias("id")).agg(listed.alias("authors"))
+    return joined.groupBy(F.col("book_id").alias("id"), *also).agg(listed.alias("authors"))
 
 
-def with_authors(books: DataFrame, links: DataFrame, authors: DataFrame) -> DataFrame:
+def with_authors(books: DataFrame, links: DataFrame, authors: DataFrame, *also: str) -> DataFrame:
     """Books plus their `authors` array, empty for books without any."""
-    found = books.join(authors_per_book(links, authors), "id", "left")
+    found = books.join(authors_per_book(links, authors, *also), ["id", *also], "left")
     return found.withColumn("authors", F.coalesce("authors", F.array().cast(_AUTHOR)))
 
 
-def search_docs(books: DataFrame, links: DataFrame, authors: DataFrame) -> DataFrame:
+def page_with_authors(page: DataFrame, links: DataFrame, history: DataFrame) -> DataFrame:
+    """The rows of a result page plus their `authors` array, with the page in the plan once.
+
+    The page is small, so it meets links and authors as they are read. `history`
+    may hold several rows of an author, told apart by `batch`: the last counts.
+    """
+    columns = [F.col(name) for name in page.columns]
+    own = page.join(links.select(F.col("book_id").alias("id"), "author_id", "pos"), "id", "left")
+    people = history.select(F.col("id").alias("author_id"), F.struct("id", *AUTHOR_FIELDS).alias("_names"), "batch")
+    newest = own.join(people, "author_id", "left").groupBy(*columns, "pos", "author_id").agg(F.max_by("_names", "batch").alias("_names"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_names").isNotNull(), F.struct("pos", "_names"))))
+    return newest.groupBy(*columns).agg(F.transform(listed, lambda a: a["_names"]).cast(_AUTHOR).alias("authors"))
+
+
+def search_docs(books: DataFrame, links: DataFrame, authors: DataFrame, *also: str) -> DataFrame:
     """What the full-text index reads, one row per book."""
-    return with_authors(books, links, authors).select(
+    return with_authors(books, links, authors, *also).select(
         "id",
         "title",
         fields.genres_text(F.col("genres")).alias("genres_text"),
         fields.authors_text(F.col("authors")).alias("authors_text"),
         "sequence",
+        *also,
     )
 
 

@@ -42,39 +42,29 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 
 def postings(
-    docs: DataFrame,
-    columns: Sequence[str] = SEARCHED,
-    only: Sequence[str] | None = None,
-    stem: bool = False,
-    spread: bool = False,
-    **options,
+    docs: DataFrame, columns: Sequence[str] = SEARCHED, only: Sequence[str] | None = None, stem: bool = False, also: Sequence[str] = (), **options
 ) -> DataFrame:
-    """(term, doc_id, tf, len). `only` keeps the terms of one query.
+    """(term, doc_id, tf, len). `only` keeps the terms of one query, `also` further columns of the documents.
 
-    The grouping starts with `doc_id`, so documents that are already spread by
-    id (as after a join on it) are counted in place. `spread` shuffles the
-    texts by id first: that moves each text once instead of a row per distinct
-    word of each text. The length of the document travels with each posting,
-    so ranking needs no join for it.
+    Terms are counted within their row, so nothing is shuffled but stems that
+    several words of a text share. The length of the document travels with each
+    posting, so ranking needs no join for it.
     """
-    if spread and only is None:
-        docs = docs.repartition("id")
-    listed = doc_tokens(docs, columns, **options)
+    listed = docs.select(F.col("id").alias("doc_id"), text.tokens(searched_text(columns), **options).alias("terms"), *also)
+    listed = listed.select("doc_id", F.size("terms").cast("bigint").alias("len"), "terms", *also)
     if only is not None and not stem:
         wanted = list(only)
         listed = listed.withColumn("terms", F.filter("terms", lambda t: t.isin(wanted)))
     # The outer form, because the plain one lets Spark add a check of the array
     # below, which would split every text twice.
-    words = listed.select("doc_id", "len", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
+    runs = listed.select("doc_id", "len", *also, F.explode_outer(text.term_counts(F.col("terms"))).alias("_t"))
+    words = runs.select(F.col("_t.term").alias("term"), "doc_id", F.col("_t.tf").alias("tf"), "len", *also).filter("term IS NOT NULL")
     if stem:
-        words = words.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
         words = text.stem_russian(words, "term")
         if only is not None:
             words = words.filter(F.col("term").isin(list(only)))
-        counted = words.groupBy("doc_id", "len", "term").agg(F.sum("tf").alias("tf"))
-    else:
-        counted = words.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    return counted.select("term", "doc_id", "tf", "len")
+        words = words.groupBy("doc_id", "len", "term", *also).agg(F.sum("tf").alias("tf"))
+    return words.select("term", "doc_id", "tf", "len", *also)
 
 
 def term_stats(posts: DataFrame) -> DataFrame:
@@ -117,17 +107,10 @@ def rank(posts: DataFrame, terms: Sequence[str], df: DataFrame, corpus: DataFram
     return parts.groupBy(F.col("doc_id").alias("id")).agg(F.sum(score).alias("score"))
 
 
-def spread_few_files(docs: DataFrame) -> DataFrame:
-    """Texts of fewer files than there are cores, spread by id for the word
-    splitting; a large input has tasks enough and is not shuffled."""
-    few = len(docs.inputFiles()) < docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition("id") if few else docs
-
-
 def rank_documents(docs: DataFrame, query_words: Sequence[str], columns: Sequence[str] = SEARCHED, **options) -> DataFrame:
     """T4 over documents that have no stored index."""
-    docs = spread_few_files(docs)
-    posts = postings(docs, columns, only=query_words, **options)
+    # Few rows are left of the texts: moved once, they serve frequencies and scores.
+    posts = postings(docs, columns, only=query_words, **options).repartition("doc_id")
     plain = {name: value for name, value in options.items() if name != "stem"}
     corpus = corpus_stats(doc_stats(docs, columns, **plain))
     return rank(posts, query_words, term_stats(posts), corpus)
@@ -140,7 +123,7 @@ def rank_by_scan(docs: DataFrame, query_words: Sequence[str], columns: Sequence[
     are one global aggregate, so only scored rows leave the scan.
     """
     words = list(query_words)
-    matched = doc_tokens(spread_few_files(docs), columns, **options).select(
+    matched = doc_tokens(docs, columns, **options).select(
         "doc_id", "len", F.filter("terms", lambda t: t.isin(words)).alias("hits")
     )
 
@@ -179,18 +162,17 @@ def top_by_title(books: DataFrame, limit: int | None = RESULT_LIMIT) -> DataFram
 
 def _page(top: DataFrame, links: DataFrame, authors: DataFrame, order: list[Column]) -> DataFrame:
     """Authors are looked up for the result page only; how it is joined follows from its size."""
-    ids = top.select(F.col("id").alias("book_id"))
-    own = links.join(ids, "book_id", "left_semi")
-    return relations.with_authors(top, own, authors).select(*RESULT_COLUMNS).orderBy(*order)
+    history = authors if "batch" in authors.columns else authors.withColumn("batch", F.lit(0).cast("bigint"))
+    return relations.page_with_authors(top, links, history).select(*RESULT_COLUMNS).orderBy(*order)
 
 
 def browse(
-    books: DataFrame, links: DataFrame, authors: DataFrame, filters: flt.Filters, limit: int | None = RESULT_LIMIT
+    books: DataFrame, links: DataFrame, authors: DataFrame, filters: flt.Filters, limit: int | None = RESULT_LIMIT, history: DataFrame | None = None
 ) -> DataFrame:
-    """Filtered books by title, score 0."""
+    """Filtered books by title, score 0. `history`: author rows of all runs, from which the page takes the last."""
     found = flt.apply_filters(flt.complete_rows(books), filters, links, authors)
     top = top_by_title(found, limit).withColumn("score", F.lit(0.0))
-    return _page(top, links, authors, [F.asc_nulls_last("title"), F.col("id")])
+    return _page(top, links, authors if history is None else history, [F.asc_nulls_last("title"), F.col("id")])
 
 
 def ranked(
@@ -200,8 +182,9 @@ def ranked(
     authors: DataFrame,
     filters: flt.Filters,
     limit: int | None = RESULT_LIMIT,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """T4, T5: hits (id, score) with book columns; filters come before the limit."""
     found = flt.apply_filters(flt.complete_rows(books), filters, links, authors)
     top = top_by_score(hits.join(found, "id"), limit)
-    return _page(top, links, authors, [F.desc("score"), F.col("id")])
+    return _page(top, links, authors if history is None else history, [F.desc("score"), F.col("id")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,13 @@ from shelfmark import schema
 from shelfmark.operators import checks, content, facets, merge, relations, search
 from shelfmark.operators import filters as flt
 from shelfmark.plans import ingest as runs
+from shelfmark.plans.index import SearchIndex
 from shelfmark.sources import archives as arc
 from shelfmark.sources import export
-from shelfmark.sources.tables import BatchTable, VersionedTable
+from shelfmark.sources.tables import BatchTable, Folder, VersionedTable
+
+# Runs whose books take less than this are rewritten together.
+COMPACT_BYTES = 128 * 1024 * 1024
 
 
 class Catalog:
@@ -34,11 +39,14 @@ class Catalog:
         self._links = BatchTable(spark, at("books_authors"), schema.LINKS)
         self._authors = BatchTable(spark, at("authors"), schema.AUTHORS)
         self._log = BatchTable(spark, at("ingest_log"), schema.INGEST_LOG)
+        # Where the documents lie within the archives, and the id ranges of the files of `books`.
+        self._entries = BatchTable(spark, at("entries"), arc.ENTRIES)
+        self._directories = BatchTable(spark, at("directories"), schema.DIRECTORIES)
+        self._zones = BatchTable(spark, at("books_zones"), schema.ZONES)
         self._search_docs = VersionedTable(spark, at("index/search_docs"), schema.SEARCH_DOCS)
         self._postings = VersionedTable(spark, at("index/postings"), schema.POSTINGS)
         self._term_stats = VersionedTable(spark, at("index/term_stats"), schema.TERM_STATS)
-        # Written last: its latest version is the index in force.
-        self._corpus_stats = VersionedTable(spark, at("index/corpus_stats"), schema.CORPUS_STATS)
+        self._index = SearchIndex(spark, at("index"), self._search_docs, self._postings, self._term_stats, stem)
 
     # --- tables ---------------------------------------------------------------
 
@@ -56,9 +64,12 @@ class Catalog:
 
     def _current(self, table: BatchTable, archives: DataFrame | None = None) -> DataFrame:
         """Rows of the run that each archive points to."""
-        known = self.archive_table() if archives is None else archives
-        live = known.filter(F.col("batch").isNotNull()).select(F.col("name").alias("archive"), "batch")
-        return table.read(self._state()[0]).join(live, ["archive", "batch"], "left_semi").drop("batch")
+        return self._live(table.read(self._state()[0]), self.archive_table() if archives is None else archives)
+
+    @staticmethod
+    def _live(rows: DataFrame, archives: DataFrame) -> DataFrame:
+        live = archives.filter(F.col("batch").isNotNull()).select(F.col("name").alias("archive"), "batch")
+        return rows.join(live, ["archive", "batch"], "left_semi").drop("batch")
 
     def _resolved(self, table: BatchTable, key: str) -> DataFrame:
         """Current rows; of the archives that claim one id the greatest name wins.
@@ -81,11 +92,15 @@ class Catalog:
     def links(self) -> DataFrame:
         return self._resolved(self._links, "book_id")
 
+    def _author_history(self) -> DataFrame:
+        """Author rows of all runs up to the last one in force, with their `batch`."""
+        last = max(self._state()[0], default=0)
+        return self._authors.read([number for number in self._authors.complete() if number <= last])
+
     def _author_rows(self) -> DataFrame:
         """Latest row per author id. A run adds an id only when no other
         archive links to it, so the first name given to a linked id stays."""
-        last = max(self._state()[0], default=0)
-        rows = self._authors.read([number for number in self._authors.complete() if number <= last])
+        rows = self._author_history()
         names = F.struct(*schema.AUTHOR_FIELDS)
         newest = rows.groupBy("id").agg(F.max_by(names, F.col("batch")).alias("a"))
         return newest.select("id", *(F.col(f"a.{name}").alias(name) for name in schema.AUTHOR_FIELDS))
@@ -108,7 +123,7 @@ class Catalog:
     ) -> None:
         """Index archives: `full`, `new`, `pick` + names, `search`, or one name."""
         if mode == "search":
-            self.build_search_index()
+            self.build_search_index(whole=True)
             return
         on_disk = arc.list_archives(self.spark, self.library)
         chosen = runs.choose_archives(on_disk, self.archive_table(), mode, archives, strict)
@@ -120,13 +135,16 @@ class Catalog:
         Parsing is written down before anything else is derived from it: the
         archives are read once, and a lost executor costs its tasks only.
         """
-        run = VersionedTable(self.spark, f"{self.warehouse}/runs/archives", todo.schema)
+        run = self._runs()
         batch = run.write(todo)
         todo = run.read(batch)
         if todo.isEmpty():
             return False
+        self._entries.write(runs.list_archives_of(self.spark, todo), batch)
+        self._directories.write(todo.withColumnRenamed("name", "archive"), batch)
         parsed_at = f"{self.warehouse}/runs/parsed/batch={batch}"
-        runs.parse_archives(self.spark, todo).write.mode("overwrite").parquet(parsed_at)
+        listed = self._entries.read([batch]).drop("batch")
+        runs.parse_archives(self.spark, todo, listed).write.mode("overwrite").parquet(parsed_at)
         parsed = self.spark.read.parquet(parsed_at)
 
         known = self.archive_table()
@@ -149,6 +167,10 @@ class Catalog:
             self.build_search_index()
         return True
 
+    def _runs(self) -> VersionedTable:
+        """The archives (name, path, length, modified) of each run; its versions number the runs."""
+        return VersionedTable(self.spark, f"{self.warehouse}/runs/archives", arc.ARCHIVES)
+
     def mark(self, names: DataFrame, status: str) -> None:
         """K9: a new version of the archive table with these statuses."""
         self._archives.write(merge.upsert_status(self.archive_table(), names, status))
@@ -159,21 +181,47 @@ class Catalog:
     def _write_rows(self, nested: DataFrame, replaced: DataFrame, batch: int) -> None:
         books, authors, links = merge.flatten_books(nested)
         if self._state()[0]:
-            # Ids that other archives still link to keep their row (K6). The
-            # existing links are cut to the run's ids before anything else.
+            # Ids that other archives still link to keep their row (K6). The ids
+            # are made distinct first, so that no author's links fill one task.
             others = self._current(self._links, self._others(replaced))
-            linked = others.join(authors.select(F.col("id").alias("author_id")), "author_id", "left_semi")
-            authors = merge.without(authors, linked.select(F.col("author_id").alias("id")).distinct(), "id")
+            linked = others.select(F.col("author_id").alias("id")).distinct()
+            authors = merge.without(authors, linked.join(authors.select("id"), "id", "left_semi"), "id")
         self._authors.write(authors, batch)
         self._links.write(links, batch)
-        self._books.write(books, batch)
+        self._write_books(books, batch)
+
+    def _write_books(self, books: DataFrame, batch: int) -> None:
+        """Books by ranges of ids, and the range that each file holds."""
+        self._books.write(books.repartitionByRange("id").sortWithinPartitions("id"), batch)
+        named = self._books.read([batch]).groupBy(F.col("_metadata.file_name").alias("file"))
+        self._zones.write(named.agg(F.min("id").alias("least"), F.max("id").alias("greatest")).coalesce(1), batch)
+
+    def _files_in_reach(self, batch: int) -> list[tuple[int, str]]:
+        """Files of `books` of current runs whose id ranges meet those of a run.
+
+        One row for each file of the table, which the driver lists anyway.
+        """
+        ranges: list[list[int]] = []
+        for row in sorted(self._zones.read([batch]).collect(), key=lambda r: r.least):
+            if ranges and row.least <= ranges[-1][1]:
+                ranges[-1][1] = max(ranges[-1][1], row.greatest)
+            else:
+                ranges.append([row.least, row.greatest])
+        starts = [least for least, _ in ranges]
+        met = []
+        for row in self._zones.read([b for b in self._state()[0] if b != batch]).collect():
+            at = bisect.bisect_right(starts, row.greatest) - 1
+            if at >= 0 and ranges[at][1] >= row.least:
+                met.append((row.batch, row.file))
+        return met
 
     def _commit(self, replaced: DataFrame, batch: int) -> None:
         fresh = self._books.read([batch]).select("id", "archive")
         claims = fresh
-        if self._state()[0]:
-            others = self._current(self._books, self._others(replaced)).select("id", "archive")
-            claims = fresh.unionByName(others.join(fresh.select("id").distinct(), "id", "left_semi"))
+        files = self._files_in_reach(batch)
+        if files:
+            rows = self._live(self._books.read_files(files), self._others(replaced)).select("id", "archive")
+            claims = fresh.unionByName(rows.join(fresh.select("id").distinct(), "id", "left_semi"))
         disputed = claims.groupBy("id").agg(F.min("archive").alias("a"), F.max("archive").alias("b")).filter("a <> b")
         shared = claims.join(disputed.select("id"), "id", "left_semi").select(F.col("archive").alias("name"))
         flags = shared.distinct().withColumn("_shared", F.lit(True))
@@ -185,54 +233,82 @@ class Catalog:
                 "name",
                 F.when(finished, F.lit(schema.STATUS_INDEXED)).otherwise(F.col("status")).alias("status"),
                 F.when(finished, F.lit(batch).cast("long")).otherwise(F.col("batch")).alias("batch"),
+                F.when(finished, F.lit(batch).cast("long")).otherwise(F.col("content")).alias("content"),
                 F.coalesce("_shared", F.when(finished, F.lit(False)).otherwise(F.col("shared_ids")), F.lit(False)).alias(
                     "shared_ids"
                 ),
             )
         )
 
+    # --- upkeep -----------------------------------------------------------------
+
+    def compact(self, small_bytes: int = COMPACT_BYTES) -> int | None:
+        """Current rows of runs smaller than `small_bytes` become one run; then all that no archive points to goes.
+
+        So a catalog of any number of runs reads as many paths as it has large
+        ones. Nothing is parsed or indexed again: the archives keep their
+        content and point to the new run, which is written whole before they
+        do. Not to be called while a run ingests. Returns the new run, if any.
+        """
+        live = self._state()[0]
+        small = [run for run in live if self._books.size(run) < small_bytes]
+        if not small or (len(small) == 1 and self._books.complete() == small):
+            return None
+        kept = [run for run in live if run not in small]
+        run = self._runs().write(self.spark.createDataFrame([], arc.ARCHIVES))
+        moved = self.archive_table().filter(F.col("batch").isin(small))
+        for table in (self._links, self._entries, self._directories):
+            table.write(self._live(table.read(small), moved), run)
+        self._write_books(self._live(self._books.read(small), moved), run)
+        # Author rows of runs that go, as far as they are the last of an id that is linked.
+        newest = self._author_history().groupBy("id").agg(F.max_by(F.struct(*schema.AUTHOR_FIELDS, "batch"), "batch").alias("a"))
+        gone = newest.filter(~F.col("a.batch").isin(kept)).select("id", *(F.col(f"a.{name}").alias(name) for name in schema.AUTHOR_FIELDS))
+        self._authors.write(merge.live_authors(gone, self._current(self._links)), run)
+        self._log.write(self._log.read([number for number in self._log.complete() if number not in kept]), run)
+        into = F.when(F.col("batch").isin(small), F.lit(run).cast("long")).otherwise(F.col("batch"))
+        self._archives.write(self.archive_table().withColumn("batch", into))
+        self._remove_unnamed({*kept, run})
+        return run
+
+    def _remove_unnamed(self, kept: set[int]) -> None:
+        for table in (self._books, self._zones, self._links, self._authors, self._entries, self._directories, self._log):
+            table.remove(kept)
+        self._runs().remove({max(kept)})
+        Folder(self.spark, self.warehouse).delete("runs/parsed")
+        self._archives.remove({self._archives.latest()})
+        self._index.remove_unnamed()
+
     # --- full-text index --------------------------------------------------------
 
-    def build_search_index(self) -> int:
-        """Write a new index version; the old one serves until it is whole.
+    def build_search_index(self, whole: bool = False) -> int:
+        """A new index version; the old one serves until it is written.
 
-        Postings are laid out by (term, document): a query reads the row groups
-        of its terms only, and a term found in most documents spans many files.
+        Contents that are not indexed yet become a segment; `whole` indexes
+        every content anew, in one.
         """
-        parts = (self._search_docs, self._postings, self._term_stats, self._corpus_stats)
-        number = max(part.next_number() for part in parts)
-        books = flt.complete_rows(self.books())
-        self._search_docs.write(relations.search_docs(books, self.links(), self._author_rows()), number)
-        docs = self._search_docs.read(number)
-        posts = search.postings(docs, stem=self.stem, spread=True)
-        self._postings.write(
-            posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), number
-        )
-        stats = search.term_stats(self._postings.read(number))
-        self._term_stats.write(stats.repartitionByRange("term").sortWithinPartitions("term"), number)
-        self._corpus_stats.write(search.corpus_stats(search.doc_stats(docs)), number)
-        return number
+        archives = self.archive_table()
+        missing = self._index.missing(archives, whole)
+        own = archives.join(missing.select(F.col("archive").alias("name")), "name", "left_semi")
+        books = flt.complete_rows(self._current(self._books, own))
+        contents = own.select(F.col("name").alias("archive"), "content")
+        docs = relations.search_docs(books, self._current(self._links, own), self._author_rows(), "archive").join(contents, "archive")
+        return self._index.add(docs, archives, whole)
 
     def search_docs(self) -> DataFrame | None:
-        number = self._corpus_stats.latest()
-        return None if number is None else self._search_docs.read(number)
+        return self._index.docs()
 
     # --- questions --------------------------------------------------------------
 
-    def search(self, query: str = "", filters: flt.Filters | None = None, limit: int = search.RESULT_LIMIT) -> DataFrame:
+    def search(self, query: str = "", filters: flt.Filters | None = None, limit: int | None = search.RESULT_LIMIT) -> DataFrame:
         """Ranked match of a query, or browse by title when it is blank."""
         filters = filters or flt.Filters()
-        books, links, authors = self.books(), self.links(), self._author_rows()
+        books, links, authors, history = self.books(), self.links(), self._author_rows(), self._author_history()
         if not query.strip():
-            return search.browse(books, links, authors, filters, limit)
-        number = self._corpus_stats.latest()
-        if number is None:
-            number = self.build_search_index()
-        terms = search.query_terms(self.spark, query, stem=self.stem)
-        hits = search.rank(
-            self._postings.read(number), terms, self._term_stats.read(number), self._corpus_stats.read(number)
-        )
-        return search.ranked(hits, books, links, authors, filters, limit)
+            return search.browse(books, links, authors, filters, limit, history)
+        if self._index.version() is None:
+            self.build_search_index()
+        hits = self._index.hits(search.query_terms(self.spark, query, stem=self.stem))
+        return search.ranked(hits, books, links, authors, filters, limit, history)
 
     def count(self) -> int:
         return facets.total(self.books()).first().total
@@ -261,12 +337,17 @@ class Catalog:
         return relations.export_manifest(self.books(), self.links(), self._author_rows(), self.archive_table(), ids)
 
     def _read(self, wanted: DataFrame, what: str, ids=None) -> DataFrame:
-        """Bytes or text of books; a short list of ids takes as few tasks."""
-        on_disk = arc.list_archives(self.spark, self.library)
-        partitions = arc.read_partitions(self.spark, on_disk)
+        """Bytes or text of books, by the kept directories of their archives.
+
+        A list of ids is looked up by literals, which reach the row groups of
+        the kept directories.
+        """
+        entries = self._current(self._entries)
         if isinstance(ids, list):
-            partitions = max(1, min(partitions, len(ids)))
-        return arc.lookup(on_disk, wanted, what, partitions)
+            archives = sorted({row.archive for row in wanted.select("archive").collect()})
+            entries = entries.filter(F.col("archive").isin(archives) & F.col("entry").isin([f"{number}.fb2" for number in ids]))
+        directory = (self._current(self._directories), entries)
+        return arc.lookup(arc.list_archives(self.spark, self.library), wanted, what, directory=directory)
 
     def _documents(self, ids) -> DataFrame:
         books = self.books() if ids is None else flt.by_ids(self.books(), ids)

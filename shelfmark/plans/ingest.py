@@ -25,14 +25,19 @@ def choose_archives(
     return merge.archives_to_read(on_disk, merge.unpicked_names(known, chosen), chosen if strict else None)
 
 
-def parse_archives(spark: SparkSession, todo: DataFrame) -> DataFrame:
+def list_archives_of(spark: SparkSession, todo: DataFrame) -> DataFrame:
+    """The directories of a run's archives, clustered by archive and entry, as they are kept."""
+    listed = arc.list_entries(todo.repartition(arc.read_partitions(spark, todo), "path"))
+    return listed.repartitionByRange("archive", "entry").sortWithinPartitions("archive", "entry")
+
+
+def parse_archives(spark: SparkSession, todo: DataFrame, listed: DataFrame) -> DataFrame:
     """One row per document entry: the nested book, or `reason` why there is none.
 
     An archive that cannot be read gives one row without `entry`. No filter
     follows the parse, so each document is parsed once.
     """
     partitions = arc.read_partitions(spark, todo)
-    listed = arc.list_entries(todo.repartition(partitions, "path"))
     number = fields.book_id(F.col("entry"))
     problem = F.when(F.col("entry").isNotNull() & number.isNull(), F.lit("no book id in the entry name"))
     entries = listed.withColumn("id", number).withColumn("error", F.coalesce("error", problem))

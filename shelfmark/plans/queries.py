@@ -853,12 +853,12 @@ def _(spark, folder):
 
 @query("t3_postings", "words lengths posts", "SELECT term, doc_id, tf, len FROM posts JOIN lengths USING (doc_id)")
 def _(spark, folder):
-    return search.postings(TableViews(spark, folder).doc_texts(), ["text"], spread=True)
+    return search.postings(TableViews(spark, folder).doc_texts(), ["text"])
 
 
 @query("t3_term_stats", "words posts", "SELECT term, count(*) AS df FROM posts GROUP BY term")
 def _(spark, folder):
-    return search.term_stats(search.postings(TableViews(spark, folder).doc_texts(), ["text"], spread=True))
+    return search.term_stats(search.postings(TableViews(spark, folder).doc_texts(), ["text"]))
 
 
 def _ranked_sql(terms: str, where: str, limit: int = 1000) -> str:
@@ -974,7 +974,7 @@ def _(spark, folder):
     views = TableViews(spark, folder)
     books, links, authors = views.part_books(), views.part_links(), views.part_authors()
     docs = relations.search_docs(books, links, authors)
-    posts = search.postings(docs)
+    posts = search.postings(docs).repartition("doc_id")
     terms = search.query_terms(spark, "Blue, supplier 7")
     hits = search.rank(posts, terms, search.term_stats(posts), search.corpus_stats(search.doc_stats(docs)))
     return _flat(search.ranked(hits, books, links, authors, Filters(date="19"), limit=None))

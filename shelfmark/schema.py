@@ -12,9 +12,10 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 # `batch` names the ingest run whose rows are the archive's current content
-# (NULL until the first one commits); `shared_ids` says that one of its book
-# ids is also claimed by another archive.
-ARCHIVES = _struct(name=_STRING, status=_STRING, batch=_LONG, shared_ids=T.BooleanType())
+# (NULL until the first one commits), `content` the run that read that content:
+# compaction moves rows to another run and leaves their content; `shared_ids`
+# says that one of its book ids is also claimed by another archive.
+ARCHIVES = _struct(name=_STRING, status=_STRING, batch=_LONG, content=_LONG, shared_ids=T.BooleanType())
 
 BOOKS = _struct(
     id=_LONG,
@@ -30,10 +31,23 @@ AUTHORS = _struct(id=_STRING, first_name=_STRING, middle_name=_STRING, last_name
 LINKS = _struct(book_id=_LONG, author_id=_STRING, pos=_INT, archive=_STRING)
 INGEST_LOG = _struct(archive=_STRING, entry=_STRING, level=_STRING, message=_STRING)
 
-SEARCH_DOCS = _struct(id=_LONG, title=_STRING, genres_text=_STRING, authors_text=_STRING, sequence=_STRING)
-POSTINGS = _struct(term=_STRING, doc_id=_LONG, tf=_LONG, len=_LONG)
-TERM_STATS = _struct(term=_STRING, df=_LONG)
-CORPUS_STATS = _struct(n=_LONG, avgdl=T.DoubleType())
+# Least and greatest book id of each file of a run.
+ZONES = _struct(file=_STRING, least=_LONG, greatest=_LONG)
+# Length and time that an archive had when its directory was kept.
+DIRECTORIES = _struct(archive=_STRING, length=_LONG, modified=T.TimestampType())
+
+# An index segment holds the books of some contents; (archive, content) says
+# whether the index still serves a row.
+SEARCH_DOCS = _struct(
+    id=_LONG, title=_STRING, genres_text=_STRING, authors_text=_STRING, sequence=_STRING, len=_LONG, archive=_STRING, content=_LONG
+)
+POSTINGS = _struct(term=_STRING, doc_id=_LONG, tf=_LONG, len=_LONG, archive=_STRING, content=_LONG)
+# Additive: document frequencies by archive, and how many books it has of how many words.
+TERM_STATS = _struct(term=_STRING, archive=_STRING, content=_LONG, df=_LONG)
+LENGTHS = _struct(archive=_STRING, content=_LONG, docs=_LONG, words=_LONG)
+# What an index version serves, and the segments it is made of with the contents they cover.
+SERVED = _struct(name=_STRING, content=_LONG, shared_ids=T.BooleanType())
+SEGMENTS = _struct(segment=_LONG, content=_LONG, size=_LONG)
 
 STATUS_INDEXING, STATUS_INDEXED, STATUS_NEW = "indexing", "indexed", "new"
 MAX_BOOK_ID = 2**32 - 1

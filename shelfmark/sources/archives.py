@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,14 @@ _ENTRY_HEAD, _LOCAL_HEAD, _END_HEAD = 46, 30, 22
 _STORED, _DEFLATED, _BZIP2 = 0, 8, 12
 _ENCRYPTED, _UTF8_NAME = 0x1, 0x800
 
+ARCHIVES = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("modified", T.TimestampType()),
+    ]
+)
 ENTRIES = T.StructType(
     [
         T.StructField("archive", T.StringType()),
@@ -95,11 +103,49 @@ def _store(scheme: str, place: str):
 
     try:
         return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{place}/")
-    except (ValueError, NotImplementedError) as problem:
+    except (ValueError, NotImplementedError, OSError) as problem:
         raise UnknownStore(f"no way to read {scheme}://{place}: {problem}") from problem
 
 
-def _open(path: str):
+class StorageFault(Exception):
+    """What opening, seeking or reading raised: the storage failed, whatever kind of error it says so by."""
+
+
+class Stored:
+    """A file whose own calls tell faults of the storage from those of the format."""
+
+    def __init__(self, file):
+        self._file = file
+
+    def _call(self, name: str, *arguments):
+        try:
+            return getattr(self._file, name)(*arguments)
+        except Exception as problem:
+            raise StorageFault(str(problem) or type(problem).__name__) from problem
+
+    def seek(self, *arguments):
+        return self._call("seek", *arguments)
+
+    def tell(self) -> int:
+        return self._call("tell")
+
+    def read(self, *arguments) -> bytes:
+        return self._call("read", *arguments)
+
+    def close(self) -> None:
+        self._file.close()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
+
+
+_SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(/.*)", re.DOTALL)
+
+
+def _open(path: str) -> Stored:
     """Random access to a file of any file system that Arrow knows.
 
     Only scheme and host are read as an address; the rest is a plain name,
@@ -107,14 +153,18 @@ def _open(path: str):
     """
     import os
 
-    scheme, mark, rest = path.partition(":")
+    found = _SCHEME.fullmatch(path)
+    scheme, rest = found.groups() if found else ("file", os.path.abspath(path))
     if scheme == "file":
-        return open("/" + rest.lstrip("/"), "rb")
-    if not mark or not rest.startswith("//"):
-        return open(os.path.abspath(path), "rb")
-    place, _, name = rest[2:].partition("/")
-    system, base = _store(scheme, place)
-    return system.open_input_file(f"{base.rstrip('/')}/{name}")
+        opener, name = (lambda at: open(at, "rb")), "/" + rest.lstrip("/")
+    else:
+        place, _, inner = rest[2:].partition("/") if rest.startswith("//") else ("", "", rest[1:])
+        system, base = _store(scheme, place)
+        opener, name = system.open_input_file, f"{base.rstrip('/')}/{inner}"
+    try:
+        return Stored(opener(name))
+    except Exception as problem:
+        raise StorageFault(str(problem) or type(problem).__name__) from problem
 
 
 def _read_at(file, offset: int, size: int) -> bytes:
@@ -231,6 +281,8 @@ def list_entries(archives: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFra
                             done += packed + _LOCAL_HEAD
                             if len(rows) >= _BATCH_ROWS:
                                 yield flush()
+                except StorageFault as fault:
+                    rows.append((name, path, *[None] * 9, f"{IO_ERROR}{fault}"))
                 except (OSError, ValueError, struct.error) as error:
                     rows.append((name, path, *[None] * 9, f"cannot read archive: {error}"))
         if rows:
@@ -323,8 +375,7 @@ _READERS = {"content": (_content, T.BinaryType(), pa.binary()), "text": (_text,
 def read_partitions(spark: SparkSession, archives: DataFrame, slice_bytes: int = SLICE_BYTES) -> int:
     """How many tasks should read these archives, from their total size."""
     total = archives.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    wanted = -(-total // slice_bytes)
-    return int(max(wanted, spark.sparkContext.defaultParallelism))
+    return int(max(-(-total // slice_bytes), 1))
 
 
 def read_entries(entries: DataFrame, what: str = "content", partitions: int | None = None) -> DataFrame:
@@ -372,10 +423,10 @@ def read_entries(entries: DataFrame, what: str = "content", partitions: int | No
                         if row["file_size"] == 0:
                             raise ValueError("empty entry")
                         value = reader(_inflate(file, row))
+                    except StorageFault as fault:
+                        error = f"{IO_ERROR}{fault}"
                     except (OSError, ValueError, EOFError, zlib.error, struct.error) as problem:
-                        # A decompressor's complaint has no errno; the storage's has one.
-                        stored = isinstance(problem, OSError) and problem.errno is not None
-                        error = (IO_ERROR if stored else "") + str(problem)
+                        error = str(problem)
                 rows.append(row)
                 contents.append(value)
                 errors.append(error)
@@ -389,24 +440,45 @@ def read_entries(entries: DataFrame, what: str = "content", partitions: int | No
         if file:
             file.close()
 
-    count = partitions or entries.sparkSession.sparkContext.defaultParallelism
+    count = partitions or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = entries.repartition(count, "archive", "slice").sortWithinPartitions("path", "offset")
     return spread.mapInArrow(read, schema)
 
 
-def lookup(archives: DataFrame, wanted: DataFrame, what: str = "content", partitions: int | None = None) -> DataFrame:
+def _unless_stored_badly(error: Column) -> Column:
+    """Whether a row has no error; a fault of the storage fails the job, as rows left out would look like missing ones."""
+    return F.when(error.startswith(IO_ERROR), F.raise_error(error).cast("boolean")).otherwise(error.isNull())
+
+
+def lookup(
+    archives: DataFrame, wanted: DataFrame, what: str = "content", partitions: int | None = None, directory: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """The entries `{id}.fb2` of `wanted` (archive, id, …) with their bytes.
 
-    Only named archives are opened and only the entries found there are read;
-    missing archives, damaged archives and missing entries give no row.
+    `directory` holds what earlier runs listed: archives (archive, length,
+    modified) and their entries. An archive that still has the length and time
+    of its listing is opened at the wanted entries' offsets only; others are
+    listed again. Missing archives, damaged archives and missing entries give
+    no row; a fault of the storage fails the job.
     """
     named = archives.join(wanted.select(F.col("archive").alias("name")).distinct(), "name", "left_semi")
     names = wanted.withColumn("entry", F.concat(F.col("id").cast("string"), F.lit(".fb2")))
-    entries = list_entries(named).filter(F.col("error").isNull()).join(names, ["archive", "entry"])
+    fresh = named
+    if directory is not None:
+        listed, known = directory
+        same = named.join(listed.withColumnRenamed("archive", "name"), ["name", "length", "modified"], "left_semi").select("name", F.col("path").alias("_path"))
+        fresh = named.join(same.select("name"), "name", "left_anti")
+    found = list_entries(fresh).filter(_unless_stored_badly(F.col("error"))).join(names, ["archive", "entry"])
+    if directory is not None:
+        kept = known.join(names, ["archive", "entry"]).join(same.withColumnRenamed("name", "archive"), "archive")
+        found = found.unionByName(kept.withColumn("path", F.col("_path")).select(*found.columns))
     # Two entries of one name: the later one counts.
-    rest = [name for name in entries.columns if name not in ("archive", "entry")]
+    rest = [name for name in found.columns if name not in ("archive", "entry")]
     newest = F.max_by(F.struct(*rest), F.col("entry_index")).alias("_row")
-    entries = entries.groupBy("archive", "entry").agg(newest).select("archive", "entry", "_row.*")
+    entries = found.groupBy("archive", "entry").agg(newest).select("archive", "entry", "_row.*")
+    if partitions is None:
+        size = entries.agg(F.coalesce(F.sum("packed_size"), F.lit(0))).first()[0]
+        partitions = int(max(-(-size // SLICE_BYTES), 1))
     others = [name for name in names.columns if name not in ("archive", "entry")]
     read = read_entries(entries.select(*ENTRIES.names, *others), what, partitions)
-    return read.filter(F.col("error").isNull()).select(*wanted.columns, what)
+    return read.filter(_unless_stored_badly(F.col("error"))).select(*wanted.columns, what)

@@ -24,6 +24,13 @@ class Folder:
             return []
         return sorted(status.getPath().getName() for status in self._fs.listStatus(self._path(self.path)))
 
+    def delete(self, inner: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/{inner}"), True)
+
+    def size(self, inner: str) -> int:
+        """Bytes of all files below `inner`."""
+        return self._fs.getContentSummary(self._path(f"{self.path}/{inner}")).getLength()
+
 
 class VersionedTable:
     """Each write is a new folder; the latest complete one is the table."""
@@ -57,6 +64,20 @@ class VersionedTable:
             return self._spark.createDataFrame([], self._schema)
         return self._spark.read.schema(self._schema).parquet(self.location(number))
 
+    def read_all(self, numbers: list[int]) -> DataFrame:
+        """Rows of several versions together."""
+        if not numbers:
+            return self._spark.createDataFrame([], self._schema)
+        return self._spark.read.schema(self._schema).parquet(*[self.location(number) for number in numbers])
+
+    def size(self, number: int) -> int:
+        return self._folder.size(f"v={number:09d}")
+
+    def remove(self, kept: set[int]) -> None:
+        """Deletes every version but `kept`."""
+        for number in set(self._versions(complete=False)) - kept:
+            self._folder.delete(f"v={number:09d}")
+
 
 class BatchTable:
     """Rows of every ingest run in a folder of their own, never rewritten."""
@@ -77,10 +98,29 @@ class BatchTable:
         # A run that failed half-way may have left files of the same number.
         frame.select(*self._schema.names).write.mode("overwrite").parquet(self.location(batch))
 
+    def size(self, batch: int) -> int:
+        return Folder(self._spark, self._path).size(f"batch={batch}")
+
+    def remove(self, kept: set[int]) -> None:
+        """Deletes the rows of every run but `kept`."""
+        folder = Folder(self._spark, self._path)
+        for name in folder.children():
+            if name.startswith("batch=") and int(name[6:]) not in kept:
+                folder.delete(name)
+
     def read(self, batches: list[int]) -> DataFrame:
         """Rows of the given runs plus their number as `batch`."""
         schema = T.StructType([*self._schema.fields, T.StructField("batch", T.LongType())])
         if not batches:
             return self._spark.createDataFrame([], schema)
-        reader = self._spark.read.schema(schema).option("basePath", self._path)
-        return reader.parquet(*[self.location(batch) for batch in batches])
+        return self._reader(schema).parquet(*[self.location(batch) for batch in batches])
+
+    def read_files(self, files: list[tuple[int, str]]) -> DataFrame:
+        """Rows of some files (run, file name) only."""
+        schema = T.StructType([*self._schema.fields, T.StructField("batch", T.LongType())])
+        if not files:
+            return self._spark.createDataFrame([], schema)
+        return self._reader(schema).parquet(*[f"{self.location(batch)}/{name}" for batch, name in files])
+
+    def _reader(self, schema: T.StructType):
+        return self._spark.read.schema(schema).option("basePath", self._path)
