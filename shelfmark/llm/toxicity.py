@@ -31,7 +31,9 @@ PRICE = 0.1
 # Passages expected more often than this in a text that is not toxic are left out.
 MOST_EXPECTED = 0.05
 FOLDS = 2
-# Steps of the statistic at which the curve is fitted: every rated book counts.
+# Rated books of each kind that the model is fitted on at most, by a digest of their ids.
+MOST_RATED = 65_536
+# Steps of the statistic at which the curve is fitted.
 STEPS_A_UNIT, MOST_STATISTIC = 100, 12.0
 
 
@@ -229,14 +231,16 @@ def curve(value: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[floa
     return float(params[0]), float(params[1])
 
 
-def fit(books: DataFrame, ratings: DataFrame) -> Model:
+def fit(books: DataFrame, ratings: DataFrame, most_rated: int = MOST_RATED) -> Model:
     """A model of `ratings` (id, toxic: 0 or 1) over the texts of `books` (id, text).
 
-    Words are counted over all books for the prior and over all rated ones for
-    the log-odds; an id's greatest rating counts, NULLs count as none. The
-    extreme value law and the curve are fitted on rated books that each half of
-    the ratings scores for the other half, so that no book judges itself; all of
-    them count. Without ratings of both kinds there are no passages, and every
+    Words are counted over all books for the prior, and for the log-odds over at
+    most `most_rated` rated ones of each kind, the first by a digest of their
+    ids, which are sent to every task so that no text is shuffled. They weigh as
+    all of their kind do. An id's greatest rating counts, NULLs count as none.
+    The extreme value law and the curve are fitted on rated books that each half
+    of these ratings scores for the other half, so that no book judges itself.
+    Without ratings of both kinds there are no passages, and every
     book gets the share of toxic ones (0 without any).
 
     The driver holds one number for each telling bucket of words (2^WORD_BITS
@@ -244,11 +248,12 @@ def fit(books: DataFrame, ratings: DataFrame) -> Model:
     """
     rated = ratings.filter("id is not null and toxic is not null").groupBy(F.col("id").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("long")).alias("toxic"))
     rated = keep(rated.withColumn("fold", F.pmod(F.xxhash64("_id"), F.lit(FOLDS))), "ratings")
+    first = lambda kind: rated.filter(F.col("toxic") == kind).orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(most_rated)
     numbers = {row["toxic"]: row["count"] for row in rated.groupBy("toxic").count().collect()}
     if len(numbers) < 2:
         only = numbers.get(1, 0) / max(sum(numbers.values()), 1)
         return Model(None, 30.0 if only else -30.0, 0.0)
-    # How ratings meet texts follows from their measured size.
+    rated = F.broadcast(keep(first(0).unionByName(first(1)), "rated"))  # 2 * most_rated rows at most
     texts = books.select("id", text_of().alias("text"))
     kind = F.coalesce(F.col("fold") * 2 + F.col("toxic"), F.lit(-1).cast("long"))
     classed = texts.join(rated, F.col("id") == F.col("_id"), "left").select(kind.alias("kind"), "text")
@@ -292,7 +297,8 @@ def fit(books: DataFrame, ratings: DataFrame) -> Model:
     whole.factor = float(np.mean(list(rates.values()))) if rates else 1.0
     steps = measured.mapInArrow(_stepped(laws), "toxic long, step long").groupBy("step").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect()
     value, toxic, number = (np.array(x, dtype=np.float64) for x in zip(*((r["step"] / STEPS_A_UNIT, r["a"], r["n"]) for r in steps), strict=True)) if steps else (np.zeros(1),) * 3
-    intercept, slope = curve(value, toxic, number - toxic)
+    weigh = lambda found, kind: found * (numbers[kind] / max(found.sum(), 1.0))
+    intercept, slope = curve(value, weigh(toxic, 1), weigh(number - toxic, 0))
     return Model(whole, intercept, slope)
 
 
