@@ -336,7 +336,7 @@ class Catalog:
             ids = self.spark.createDataFrame([(number,) for number in ids], "id long").distinct()
         return relations.export_manifest(self.books(), self.links(), self._author_rows(), self.archive_table(), ids)
 
-    def _read(self, wanted: DataFrame, what: str, ids=None) -> DataFrame:
+    def _read(self, wanted: DataFrame, what: str, ids=None, partitions: int | None = None, by: str | None = None) -> DataFrame:
         """Bytes or text of books, by the kept directories of their archives.
 
         A list of ids is looked up by literals, which reach the row groups of
@@ -347,7 +347,7 @@ class Catalog:
             archives = sorted({row.archive for row in wanted.select("archive").collect()})
             entries = entries.filter(F.col("archive").isin(archives) & F.col("entry").isin([f"{number}.fb2" for number in ids]))
         directory = (self._current(self._directories), entries)
-        return arc.lookup(arc.list_archives(self.spark, self.library), wanted, what, directory=directory)
+        return arc.lookup(arc.list_archives(self.spark, self.library), wanted, what, partitions, directory, by)
 
     def _documents(self, ids) -> DataFrame:
         books = self.books() if ids is None else flt.by_ids(self.books(), ids)
@@ -366,19 +366,20 @@ class Catalog:
 
     def export(self, ids, out_dir: str) -> DataFrame:
         """Write the books as files; returns (id, title, author, output_path)."""
-        read = self._read(self.manifest(ids), "content", ids)
-        written = export.write_files(read.withColumnRenamed("content", "data"), out_dir)
-        return self._kept(written.select("id", "title", "author", "output_path"))
+        read = self._read(self.manifest(ids), "content", ids).withColumnRenamed("content", "data")
+        return export.write_files(read, out_dir, self._new_export()).select("id", "title", "author", "output_path")
 
     def export_bundles(self, ids, out_dir: str, per_bundle: int = 1000) -> DataFrame:
-        """Pack the books into several archives; returns (bundle, id, file_name)."""
+        """Pack the books into several archives; returns (bundle, id, file_name).
+
+        Books are dealt to bundles before they are read, so no document is shuffled.
+        """
         books = self.manifest(ids).select("archive", "id", "file_name")
         bundles = max(1, -(-books.count() // per_bundle))
-        read = self._read(books, "content", ids).withColumnRenamed("content", "data")
-        return self._kept(export.write_bundles(read, out_dir, bundles))
-
-    def _kept(self, written: DataFrame) -> DataFrame:
-        """Run an export once and keep its manifest."""
-        place = f"{self.warehouse}/exports/{uuid.uuid4().hex}"
-        written.write.parquet(place)
-        return self.spark.read.parquet(place)
+        dealt = books.withColumn("bundle", F.format_string("books-%05d.zip", F.pmod(F.xxhash64("id"), F.lit(bundles))))
+        read = self._read(dealt, "content", ids, bundles, "bundle").withColumnRenamed("content", "data")
+        return export.write_archives(read.withColumn("archive", F.col("bundle")), out_dir, self._new_export())
+
+    def _new_export(self) -> str:
+        """A folder for the manifest of an export."""
+        return f"{self.warehouse}/exports/{uuid.uuid4().hex}"

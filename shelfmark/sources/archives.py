@@ -97,7 +97,7 @@ class UnknownStore(RuntimeError):
     """Arrow has no file system for a path: the job fails, the archive is not to blame."""
 
 
-def _store(scheme: str, place: str):
+def store(scheme: str, place: str):
     """The file system of a scheme and host or bucket, and what its paths begin with."""
     from pyarrow import fs
 
@@ -142,7 +142,7 @@ class Stored:
         self.close()
 
 
-_SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(/.*)", re.DOTALL)
+SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(/.*)", re.DOTALL)
 
 
 def _open(path: str) -> Stored:
@@ -153,13 +153,13 @@ def _open(path: str) -> Stored:
     """
     import os
 
-    found = _SCHEME.fullmatch(path)
+    found = SCHEME.fullmatch(path)
     scheme, rest = found.groups() if found else ("file", os.path.abspath(path))
     if scheme == "file":
         opener, name = (lambda at: open(at, "rb")), "/" + rest.lstrip("/")
     else:
         place, _, inner = rest[2:].partition("/") if rest.startswith("//") else ("", "", rest[1:])
-        system, base = _store(scheme, place)
+        system, base = store(scheme, place)
         opener, name = system.open_input_file, f"{base.rstrip('/')}/{inner}"
     try:
         return Stored(opener(name))
@@ -246,7 +246,7 @@ def directory_entries(file) -> Iterator[tuple]:
         buffer = buffer[at:]
 
 
-def _is_document(name: str) -> bool:
+def is_document(name: str) -> bool:
     stem, dot, extension = name.rsplit("/", 1)[-1].rpartition(".")
     return bool(stem and dot) and extension.lower() == "fb2"
 
@@ -273,7 +273,7 @@ def list_entries(archives: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFra
                 try:
                     with _open(path) as file:
                         for entry, index, method, flags, crc, packed, full, offset in directory_entries(file):
-                            if not _is_document(entry):
+                            if not is_document(entry):
                                 continue
                             rows.append(
                                 (name, path, entry, index, method, flags, crc, packed, full, offset, done // slice_bytes, None)
@@ -299,7 +299,7 @@ def count_entries(archives: DataFrame) -> DataFrame:
 # --- contents ---------------------------------------------------------------------
 
 
-def _inflate(file, row: dict) -> Iterator[bytes]:
+def inflate(file, row: dict) -> Iterator[bytes]:
     """Uncompressed chunks of one entry; size and checksum are verified at the end."""
     if row["flags"] & _ENCRYPTED:
         raise ValueError("encrypted entry")
@@ -369,7 +369,7 @@ def _description(chunks: Iterator[bytes]) -> str:
     return found.group(0) if found else fields.UNKNOWN_DESCRIPTION
 
 
-_READERS = {"content": (_content, T.BinaryType(), pa.binary()), "text": (_text, T.StringType(), pa.string()), "description": (_description, T.StringType(), pa.string())}
+READERS = {"content": (_content, T.BinaryType(), pa.binary()), "text": (_text, T.StringType(), pa.string()), "description": (_description, T.StringType(), pa.string())}
 
 
 def read_partitions(spark: SparkSession, archives: DataFrame, slice_bytes: int = SLICE_BYTES) -> int:
@@ -378,14 +378,15 @@ def read_partitions(spark: SparkSession, archives: DataFrame, slice_bytes: int =
     return int(max(-(-total // slice_bytes), 1))
 
 
-def read_entries(entries: DataFrame, what: str = "content", partitions: int | None = None) -> DataFrame:
+def read_entries(entries: DataFrame, what: str = "content", partitions: int | None = None, by: str | None = None) -> DataFrame:
     """Entry rows plus `content`, `text` or `description`.
 
-    Rows are spread by (archive, slice) with a fixed number of partitions:
-    they are small, what they stand for is not, so run-time coalescing by row
-    size must not merge them. A failing entry gets an `error`, not an abort.
+    Rows are spread by (archive, slice), or by column `by` whose rows then follow
+    each other, with a fixed number of partitions: they are small, what they
+    stand for is not, so run-time coalescing by row size must not merge them. A
+    failing entry gets an `error`, not an abort.
     """
-    reader, spark_type, arrow_type = _READERS[what]
+    reader, spark_type, arrow_type = READERS[what]
     keep = [name for name in entries.columns if name != "error"]
     out_fields = [f for f in entries.schema.fields if f.name != "error"]
     schema = T.StructType(
@@ -422,7 +423,7 @@ def read_entries(entries: DataFrame, what: str = "content", partitions: int | No
                             path = row["path"]
                         if row["file_size"] == 0:
                             raise ValueError("empty entry")
-                        value = reader(_inflate(file, row))
+                        value = reader(inflate(file, row))
                     except StorageFault as fault:
                         error = f"{IO_ERROR}{fault}"
                     except (OSError, ValueError, EOFError, zlib.error, struct.error) as problem:
@@ -441,7 +442,8 @@ def read_entries(entries: DataFrame, what: str = "content", partitions: int | No
             file.close()
 
     count = partitions or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = entries.repartition(count, "archive", "slice").sortWithinPartitions("path", "offset")
+    keys = [by] if by else ["archive", "slice"]
+    spread = entries.repartition(count, *keys).sortWithinPartitions(*([by] if by else []), "path", "offset")
     return spread.mapInArrow(read, schema)
 
 
@@ -451,7 +453,8 @@ def _unless_stored_badly(error: Column) -> Column:
 
 
 def lookup(
-    archives: DataFrame, wanted: DataFrame, what: str = "content", partitions: int | None = None, directory: tuple[DataFrame, DataFrame] | None = None
+    archives: DataFrame, wanted: DataFrame, what: str = "content", partitions: int | None = None,
+    directory: tuple[DataFrame, DataFrame] | None = None, by: str | None = None,
 ) -> DataFrame:
     """The entries `{id}.fb2` of `wanted` (archive, id, …) with their bytes.
 
@@ -480,5 +483,5 @@ def lookup(
         size = entries.agg(F.coalesce(F.sum("packed_size"), F.lit(0))).first()[0]
         partitions = int(max(-(-size // SLICE_BYTES), 1))
     others = [name for name in names.columns if name not in ("archive", "entry")]
-    read = read_entries(entries.select(*ENTRIES.names, *others), what, partitions)
+    read = read_entries(entries.select(*ENTRIES.names, *others), what, partitions, by)
     return read.filter(_unless_stored_badly(F.col("error"))).select(*wanted.columns, what)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +100,7 @@ def synthetic_documents(books: DataFrame, paragraphs: int = 5) -> DataFrame:
 def write_synthetic_archives(
     spark: SparkSession, out_dir: str, archives: int, per_archive: int, seed: int = 42, lang: str = "en"
 ) -> DataFrame:
-    """Write the archives in parallel, one task per group of archives."""
+    """Write the archives in parallel, one task per group of archives; returns what they hold."""
     docs = synthetic_documents(synthetic_books(spark, archives, per_archive, seed, lang))
     entries = docs.select(
         "archive",
@@ -106,4 +108,5 @@ def write_synthetic_archives(
         F.concat(F.col("id").cast("string"), F.lit(".fb2")).alias("file_name"),
         F.encode("text", "UTF-8").alias("data"),
     )
-    return export.write_archives(entries, out_dir, archives)
+    grouped = entries.repartition(archives, "archive").sortWithinPartitions("archive", "id")
+    return export.write_archives(grouped, out_dir, f"{out_dir}/_manifest-{uuid.uuid4().hex}")

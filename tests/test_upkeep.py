@@ -12,6 +12,8 @@ from shelfmark.operators import search
 from shelfmark.plans import index
 from shelfmark.plans.catalog import Catalog
 from shelfmark.sources import archives as arc
+from shelfmark.sources import export
+from shelfmark.sources.reader import read_archives
 
 
 def found(frame):
@@ -196,3 +198,56 @@ def test_catalogs_of_one_warehouse_agree(spark, catalog, library, tmp_path):
     other = Catalog(spark, str(library), str(tmp_path / "warehouse"))
     assert found(other.search("one")) == found(catalog.search("one")) != {}
     assert [(r.id, r.authors[0].last_name) for r in other.search("").collect()] == [(1, "Lee")]
+
+
+# --- exports with a commit ------------------------------------------------------------------
+
+
+def test_a_failing_task_leaves_no_file(spark, tmp_path):
+    out, notes = tmp_path / "out", tmp_path / "notes"
+    rows = spark.range(40).select("id", F.concat(F.lit("b "), F.col("id").cast("string")).alias("file_name"), F.encode(F.col("id").cast("string"), "UTF-8").alias("data"))
+    bad = rows.repartition(4, "id").withColumn("data", F.when(F.col("id") == 33, F.raise_error(F.lit("lost"))).otherwise(F.col("data")))
+    with pytest.raises(Exception, match="lost"):
+        export.write_files(bad, str(out), str(notes))
+    assert list(out.rglob("*")) == [] and [p for p in notes.rglob("*") if p.is_file()] == []
+    written = export.write_files(rows.repartition(4, "id"), str(out), str(notes))
+    assert sorted(p.name for p in out.iterdir()) == sorted(f"b {i}" for i in range(40))
+    assert {r.id: open(r.output_path.removeprefix("file:")).read() for r in written.collect()} == {i: str(i) for i in range(40)}
+
+
+def test_attempts_that_are_not_committed_leave_nothing(tmp_path):
+    """A twin of a task wrote as well; the commit names one of them."""
+    import pyarrow as pa
+
+    out, notes = f"file:{tmp_path}/out", f"file:{tmp_path}/notes"
+    writer = export.BookWriter("files", out, notes)
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "file_name": ["x", "y"], "data": [b"1", b"2"]})
+    first, _ = writer.write(iter([batch])), writer.write(iter([batch]))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == [export.UNFINISHED]
+    writer.commit([first, None])
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*")) == ["x", "y"] and len(list((tmp_path / "notes").rglob("*"))) == 1
+    other = export.BookWriter("bundles", out, notes)
+    other.write(iter([pa.RecordBatch.from_pydict({"archive": ["b.zip"], "id": [1], "file_name": ["x"], "data": [b"1"]})]))
+    other.abort([])
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*")) == ["x", "y"]
+
+
+# --- archives as a data source ----------------------------------------------------------------
+
+
+def test_filters_reach_the_archives(spark, library):
+    texts = {f"{i}.fb2": bytes((i * 37 + j) % 256 for j in range(900)) for i in range(1, 40)}
+    write_zip(library / "a.zip", {**texts, "notes.txt": "no document", "77.fb2": ""})
+    (library / "broken.zip").write_bytes(b"garbage")
+    rows = read_archives(spark, str(library), slice_bytes=2000)
+    assert rows.rdd.getNumPartitions() > 5
+    read = rows.collect()
+    assert {r.entry: bytes(r.content) for r in read if not r.error} == texts
+    assert {(r.archive, r.entry) for r in read if r.error} == {("broken.zip", None), ("a.zip", "77.fb2")}
+    one = read_archives(spark, str(library), slice_bytes=2000).filter("archive = 'broken.zip'")
+    assert one.rdd.getNumPartitions() == 1 and one.count() == 1
+    # The damaged file is not opened: no row tells of it, and no slice of it is planned.
+    some = read_archives(spark, str(library), "content").filter("archive in ('a.zip', 'none.zip') and entry in ('3.fb2', '4.fb2') and file_size > 1")
+    assert sorted((r.entry, bytes(r.content)) for r in some.collect()) == [(n, texts[n]) for n in ("3.fb2", "4.fb2")]
+    assert "Filter" in some._jdf.queryExecution().optimizedPlan().toString() and some.rdd.getNumPartitions() == 1
+    assert read_archives(spark, str(library), "text").filter("archive = 'none.zip'").count() == 0
