@@ -145,24 +145,32 @@ class Stored:
 SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(/.*)", re.DOTALL)
 
 
-def _open(path: str) -> Stored:
-    """Random access to a file of any file system that Arrow knows.
+def located(path: str):
+    """The file system of a path and its name there.
 
     Only scheme and host are read as an address; the rest is a plain name,
     whatever blanks or signs it has.
     """
     import os
 
+    from pyarrow import fs
+
     found = SCHEME.fullmatch(path)
     scheme, rest = found.groups() if found else ("file", os.path.abspath(path))
     if scheme == "file":
-        opener, name = (lambda at: open(at, "rb")), "/" + rest.lstrip("/")
-    else:
-        place, _, inner = rest[2:].partition("/") if rest.startswith("//") else ("", "", rest[1:])
-        system, base = store(scheme, place)
-        opener, name = system.open_input_file, f"{base.rstrip('/')}/{inner}"
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    place, _, inner = rest[2:].partition("/") if rest.startswith("//") else ("", "", rest[1:])
+    system, base = store(scheme, place)
+    return system, f"{base.rstrip('/')}/{inner}"
+
+
+def _open(path: str) -> Stored:
+    """Random access to a file of any file system that Arrow knows."""
+    from pyarrow import fs
+
+    system, name = located(path)
     try:
-        return Stored(opener(name))
+        return Stored(open(name, "rb") if isinstance(system, fs.LocalFileSystem) else system.open_input_file(name))
     except Exception as problem:
         raise StorageFault(str(problem) or type(problem).__name__) from problem
 

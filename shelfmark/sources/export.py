@@ -32,16 +32,8 @@ class Place:
     """A folder on any file system that Arrow knows; its files may be named anything."""
 
     def __init__(self, address: str):
-        from pyarrow import fs
-
         self.address = address.rstrip("/")
-        found = arc.SCHEME.fullmatch(self.address)
-        if not found or found.group(1) == "file":
-            self._fs, self._folder = fs.LocalFileSystem(), "/" + (found.group(2) if found else self.address).lstrip("/")
-        else:
-            place, _, inner = found.group(2)[2:].partition("/")
-            self._fs, base = arc.store(found.group(1), place)
-            self._folder = f"{base.rstrip('/')}/{inner}"
+        self._fs, self._folder = arc.located(self.address)
         self._fs.create_dir(self._folder, recursive=True)
 
     def inner(self, name: str) -> Place:

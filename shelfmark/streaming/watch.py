@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfmark.operators import merge
 from shelfmark.plans.catalog import Catalog
 from shelfmark.sources import archives as arc
+from shelfmark.streaming.settling import settled
 
 _FILE_ROWS = "path string, modificationTime timestamp, length long, content binary"
 # By default a file older than a week beside a new one would never be read.
@@ -20,9 +21,17 @@ def watch_library(
     archives_per_batch: int = 1000,
     continuous: bool = False,
     build_index: bool = True,
+    every: str = "10 seconds",
+    settle_seconds: float | None = None,
+    offers: int = 6,
 ) -> StreamingQuery:
     """Index new archives as they come; without `continuous`, those there now.
 
+    `settle_seconds`, for continuous streams: an archive is read when its length
+    and time have not changed for so long, so one that is still being copied
+    waits, and `offers` times in all, so one that the storage failed on gets
+    another turn (see `Settling`).
+
     The file source remembers every archive it has handed out, whatever its
     name or age, and never opens it here (`content` is not selected). A batch
     that is repeated after a crash skips what is indexed and redoes the rest.
@@ -42,6 +51,12 @@ def watch_library(
         todo = merge.archives_to_read(batch, merge.indexed_names(catalog.archive_table()))
         catalog.ingest_archives(todo, build_index)
 
-    writer = arc.archive_rows(found).writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
-    trigger = {"processingTime": "10 seconds"} if continuous else {"availableNow": True}
+    if settle_seconds is None:
+        offered = arc.archive_rows(found)
+    elif continuous:
+        offered = settled(found.select("path"), settle_seconds, offers)
+    else:
+        raise ValueError("waiting for copies to finish needs a continuous stream")
+    writer = offered.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
+    trigger = {"processingTime": every} if continuous else {"availableNow": True}
     return writer.trigger(**trigger).start()
