@@ -86,17 +86,24 @@ def sequence_text(block: Column) -> Column:
     parents before children: `Parent 1, Child 2`.
 
     Opening tags in the order of the text are that order already, so nothing
-    recursive is needed; each tag is parsed for its attributes alone.
+    recursive is needed. Tags of the plain form are cut by a pattern; only those
+    with entities, other attributes or blanks at the edges are parsed as XML.
     """
     bare = F.regexp_replace(block, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
     info = F.regexp_extract(bare, r"(?s)<title-info(?:\s[^>]*?)?(?:/>|>(.*?)</title-info>)", 1)
     tags = F.regexp_extract_all(info, F.lit(r"""<sequence(?=[\s/>])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""), 1)
 
+    edge = r"""[^"&<\x00-\x20]"""
+    value = rf"""{edge}(?:[^"&<\x00-\x1F]*{edge})?"""
+    plain = rf"""\A\s+name="({value})"(?:\s+number="({value})")?[\s/]*\z"""
+
     def label(attributes: Column) -> Column:
         tag = F.concat(F.lit("<sequence"), F.regexp_replace(attributes, r"[\s/]+\z", ""), F.lit("/>"))
         given = F.from_xml(tag, "_name string, _number string")
         name, number = F.coalesce(given["_name"], F.lit("")), given["_number"]
-        return F.when(number.isNull(), name).otherwise(F.concat(name, F.lit(" "), number))
+        parsed = F.when(number.isNull(), name).otherwise(F.concat(name, F.lit(" "), number))
+        cut = F.rtrim(F.concat(F.regexp_extract(attributes, plain, 1), F.lit(" "), F.regexp_extract(attributes, plain, 2)))
+        return F.when(attributes.rlike(plain), cut).otherwise(parsed)
 
     return F.array_join(F.transform(tags, label), ", ")
 

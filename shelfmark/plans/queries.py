@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,6 +150,38 @@ def _(spark, folder):
     return decoded.select("doc_id", "n_chars", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
+# Letters from the most to the least frequent in English and in Russian: a text keeps its look.
+_ENGLISH, _RUSSIAN = "etaoinshrdlcumwfgypbvkjxqz", "оеаинтсрвлкмдпуяыьгзбчйхжш"
+_LETTERS = (_ENGLISH + _ENGLISH.upper(), _RUSSIAN + _RUSSIAN.upper())
+
+
+@query(
+    "p2_legacy_charset",
+    "",
+    f"""SELECT doc_id, md5(CASE WHEN lang = 'en' THEN translate(coalesce(text, ''), '{_LETTERS[0]}', '{_LETTERS[1]}') ELSE coalesce(text, '') END) AS digest FROM documents""",
+)
+def _(spark, folder):
+    """English texts in Cyrillic letters, in three charsets by turns, others in a Latin one; which one is nowhere said."""
+    from shelfmark.sources.decode import decode_text
+
+    @F.pandas_udf("binary")
+    def written(texts: pd.Series, charsets: pd.Series) -> pd.Series:
+        def one(text: str, charset: str) -> bytes:
+            try:
+                return text.encode(charset)
+            except UnicodeEncodeError:
+                return text.encode("utf-8")
+
+        return pd.Series([one(text, charset) for text, charset in zip(texts, charsets, strict=True)])
+
+    docs = TableViews(spark, folder).table("documents")
+    english = F.col("lang") == "en"
+    turns = F.element_at(F.array(F.lit("cp1251"), F.lit("koi8_r"), F.lit("cp866")), (F.col("doc_id") % 3 + 1).cast("int"))
+    text = F.when(english, F.translate("text", *_LETTERS)).otherwise(F.col("text"))
+    raw = docs.select("doc_id", written(F.coalesce(text, F.lit("")), F.when(english, turns).otherwise(F.lit("cp1252"))).alias("raw"))
+    return raw.select("doc_id", F.md5(F.encode(decode_text(F.col("raw")), "UTF-8")).alias("digest"))
+
+
 @query(
     "p3_metadata_slice",
     "",

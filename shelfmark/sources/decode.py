@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import codecs
 import re
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +19,10 @@ BYTE_ORDER_MARKS = (
     (codecs.BOM_UTF16_BE, "utf-16-be"),
 )
 SAMPLE = 4096
-FALLBACK = "cp1251"
+# Legacy charsets to choose from; of equals the first.
+LEGACY = ("cp1251", "koi8_r", "cp866", "cp1252")
+# Russian letters from the most frequent to the rarest.
+RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 
 _DECLARED = re.compile(rb"""^[^<]*<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._:-]+)["']""")
 
@@ -42,8 +47,55 @@ def _mostly_utf8(raw: bytes) -> bool:
     return wide > len(raw) - len(valid.encode("utf-8"))
 
 
+def _class_of(character: str) -> str:
+    """Script and case of a character: Cyrillic C c, other letters beyond ASCII A a, ASCII letters L l, plain ASCII p, symbols s, what no text holds x."""
+    code = ord(character)
+    if code < 0x80:
+        return ("L" if character.isupper() else "l") if character.isalpha() else "p" if character.isprintable() or character in "\t\n\r" else "x"
+    if 0x400 <= code < 0x460:
+        return "C" if character.isupper() else "c"
+    if character.isalpha():
+        return "A" if character.isupper() else "a"
+    return "x" if not character.isprintable() and character != "\xa0" or 0x2500 <= code < 0x25A0 or character == "\ufffd" else "s"
+
+
+# How well two classes follow each other, where one of them is beyond ASCII.
+_FOLLOW = {
+    "cc": 0.5, "Cc": 0.5, "CC": 0.0, "cC": -6.0, "pc": 0.2, "pC": 0.2, "cp": 0.2, "Cp": -0.5,
+    "al": 1.0, "la": 1.0, "La": 0.5, "Al": 0.5, "AL": 0.5, "LA": 0.5, "aa": -1.0, "AA": -1.0, "aA": -6.0, "Aa": -1.0, "lA": -6.0, "aL": -6.0,
+    "pa": 0.0, "ap": 0.0, "pA": 0.0, "Ap": -0.5, "sp": -0.5, "ps": -0.5, "ss": -1.0,
+}
+_MIXED, _NO_TEXT = -4.0, -8.0
+
+
+@cache
+def pair_scores() -> np.ndarray:
+    """For each legacy charset a score of each pair of bytes: how their characters follow each other, and how common Russian letters are."""
+    tables = np.zeros((len(LEGACY), 256, 256), np.float32)
+    for table, name in zip(tables, LEGACY, strict=True):
+        characters = [bytes([byte]).decode(name, errors="replace") for byte in range(256)]
+        classes = [_class_of(c) for c in characters]
+        ranks = [RUSSIAN.find(c.lower()) for c in characters]
+        weight = np.array([1.5 - 3.0 * rank / len(RUSSIAN) if rank >= 0 else -2.0 if kind in "Cc" else 0.0 for rank, kind in zip(ranks, classes, strict=True)])
+        for a in range(256):
+            for b in range(256):
+                if a >= 0x80 or b >= 0x80:
+                    pair = classes[a] + classes[b]
+                    table[a, b] = _NO_TEXT if "x" in pair else _FOLLOW.get(pair, _MIXED)
+        table[0x80:, :] += (weight[0x80:, None] / 2).astype(np.float32)
+        table[:, 0x80:] += (weight[None, 0x80:] / 2).astype(np.float32)
+    return tables.reshape(len(LEGACY), -1)
+
+
+def detect(raw: bytes) -> str:
+    """The legacy charset whose pairs of bytes fit best, over the whole buffer; edges count as blanks."""
+    data = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.int64)
+    pairs = np.bincount(data[:-1] << 8 | data[1:], minlength=65536)
+    return LEGACY[int((pair_scores() @ pairs).argmax())]
+
+
 def to_text(raw: bytes, declared: str | None = None) -> str:
-    """Mark, strict UTF-8, declared encoding, broken UTF-8, windows-1251 — in that order."""
+    """Mark, strict UTF-8, declared encoding, broken UTF-8, the legacy charset that fits best — in that order."""
     for mark, name in BYTE_ORDER_MARKS:
         if raw.startswith(mark):
             return raw[len(mark) :].decode(name, errors="replace")
@@ -53,7 +105,7 @@ def to_text(raw: bytes, declared: str | None = None) -> str:
         pass
     encoding = declared or declared_encoding(raw)
     if encoding is None:
-        encoding = "utf-8" if _mostly_utf8(raw) else FALLBACK
+        encoding = "utf-8" if _mostly_utf8(raw) else detect(raw)
     return raw.decode(encoding, errors="replace")
 
 

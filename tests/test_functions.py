@@ -237,3 +237,16 @@ def test_fixture_builder_is_valid(spark):
         fields.parse_description(fields.description_slice(F.col("t"))).alias("d")
     )
     assert parsed.select(fields.reject_reason(F.col("d")).alias("r")).first().r is None
+
+
+def test_legacy_charsets_are_told_by_their_pairs_of_bytes():
+    russian = ("Привет, мир!", "Война и мир. Том первый", "ЁЛКА И ЕЖ", "Ещё раз: Анна Каренина, часть 2")
+    for text_ in russian:
+        for charset in ("cp1251", "koi8_r", "cp866"):
+            assert decode.to_text(text_.encode(charset)) == text_, charset
+    for text_ in ("Grüße aus Köln", "le café à côté", "El niño y la señora"):
+        assert decode.to_text(text_.encode("cp1252")) == text_
+    # The whole buffer counts, not its head; a declaration goes before a guess.
+    late = "plain ascii, " * 5000 + "Анна Каренина"
+    assert decode.to_text(late.encode("koi8_r")) == late and decode.detect(late.encode("cp866")) == "cp866"
+    assert decode.to_text('<?xml version="1.0" encoding="windows-1251"?>ТЁЩ'.encode("cp1251")).endswith("ТЁЩ")
