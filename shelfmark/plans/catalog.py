@@ -307,7 +307,12 @@ class Catalog:
             return search.browse(books, links, authors, filters, limit, history)
         if self._index.version() is None:
             self.build_search_index()
-        hits = self._index.hits(search.query_terms(self.spark, query, stem=self.stem))
+        terms = search.query_terms(self.spark, query, stem=self.stem)
+        if limit is None:
+            hits = self._index.hits(terms)
+        else:
+            found = flt.apply_filters(flt.complete_rows(books), filters, links, authors).select("id")
+            hits, _ = self._index.best_hits(terms, limit, lambda rows: rows.join(found, "id", "left_semi"))
         return search.ranked(hits, books, links, authors, filters, limit, history)
 
     def count(self) -> int:

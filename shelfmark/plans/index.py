@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import schema
@@ -11,6 +13,11 @@ from shelfmark.sources.tables import VersionedTable
 
 # Segments whose sizes lie within one power of GROWTH are a tier; as many of them become one.
 GROWTH = 8
+# Ids of a block of postings, and the blocks that a search scores before it knows a threshold.
+BLOCK_IDS = 4096
+FIRST_BLOCKS = 64
+# Scores are sums in no fixed order: bounds are taken this much higher.
+SLACK = 1 + 1e-9
 
 
 class SearchIndex:
@@ -27,12 +34,13 @@ class SearchIndex:
         self.spark, self.stem = spark, stem
         self.docs_table, self.postings_table, self.stats_table = docs, postings, stats
         self.lengths = VersionedTable(spark, f"{path}/lengths", schema.LENGTHS)
+        self.blocks = VersionedTable(spark, f"{path}/blocks", schema.BLOCKS)
         self.served = VersionedTable(spark, f"{path}/served", schema.SERVED)
         # Written last: its latest version is the index in force.
         self.segments = VersionedTable(spark, f"{path}/segments", schema.SEGMENTS)
 
     def _parts(self) -> tuple[VersionedTable, ...]:
-        return self.docs_table, self.postings_table, self.stats_table, self.lengths
+        return self.docs_table, self.postings_table, self.stats_table, self.lengths, self.blocks
 
     def version(self) -> int | None:
         return self.segments.latest()
@@ -88,6 +96,8 @@ class SearchIndex:
         self.postings_table.write(posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), number)
         counted = self.postings_table.read(number).groupBy("term", "archive", "content").agg(F.count("*").alias("df"))
         self.stats_table.write(counted.repartitionByRange("term", "archive").sortWithinPartitions("term", "archive"), number)
+        bounds = self.postings_table.read(number).groupBy("term", self._block("doc_id")).agg(F.max("tf").alias("most_tf"), F.min("len").alias("least_len"))
+        self.blocks.write(bounds.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), number)
         docs = self.docs_table.read(number).groupBy("archive", "content")
         self.lengths.write(docs.agg(F.count("*").alias("docs"), F.sum("len").alias("words")), number)
 
@@ -151,24 +161,70 @@ class SearchIndex:
             return None
         return self._resolved(self.docs_table.read_all(list(self._named(version))), version, self._shared(version), "id")
 
-    def hits(self, terms: list[str]) -> DataFrame:
-        """T4: (id, score) by the postings of the version in force.
+    @staticmethod
+    def _block(column: str) -> Column:
+        return F.floor(F.col(column) / BLOCK_IDS).alias("block")
+
+    def _statistics(self, posts: DataFrame, terms: list[str], version: int, shared: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(term, df) of the terms and one row (n, avgdl).
 
-        Document frequencies and lengths are added up from the tables of the
-        segments; of archives that share ids they are counted from the rows.
+        They are added up from the tables of the segments; of archives that
+        share ids they are counted from the rows.
         """
-        version = self.version()
-        segments, served, shared = list(self._named(version)), self.served.read(version), self._shared(version)
-        wanted = F.col("term").isin(terms)
-        posts = self._resolved(self.postings_table.read_all(segments).filter(wanted), version, shared, "doc_id")
+        segments, served = list(self._named(version)), self.served.read(version)
         plain = served if shared is None else served.filter("not shared_ids")
-        df = self._live(self.stats_table.read_all(segments).filter(wanted), plain).select("term", "df")
+        df = self._live(self.stats_table.read_all(segments).filter(F.col("term").isin(terms)), plain).select("term", "df")
         lengths = self._live(self.lengths.read_all(segments), plain).select("docs", "words")
         if shared is not None:
-            disputed = self._live(posts, shared)
-            df = df.unionByName(disputed.groupBy("term").agg(F.count("*").alias("df")))
+            df = df.unionByName(self._live(posts, shared).groupBy("term").agg(F.count("*").alias("df")))
             own = self._live(self.docs(), shared).agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
             lengths = lengths.unionByName(own)
         n, words = F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))
         corpus = lengths.agg(n.alias("n"), F.when(n > 0, words / n).otherwise(F.lit(0.0)).alias("avgdl"))
-        return search.rank(posts, terms, df.groupBy("term").agg(F.sum("df").alias("df")), corpus)
+        return df.groupBy("term").agg(F.sum("df").alias("df")), corpus
+
+    def _postings(self, terms: list[str], version: int, shared: DataFrame | None) -> DataFrame:
+        rows = self.postings_table.read_all(list(self._named(version))).filter(F.col("term").isin(terms))
+        return self._resolved(rows, version, shared, "doc_id")
+
+    def hits(self, terms: list[str], blocks: DataFrame | None = None) -> DataFrame:
+        """T4: (id, score) by the postings of the version in force; `blocks` (block) leaves the others out."""
+        version = self.version()
+        shared = self._shared(version)
+        posts = self._postings(terms, version, shared)
+        df, corpus = self._statistics(posts, terms, version, shared)
+        if blocks is not None:
+            posts = posts.withColumn("block", self._block("doc_id")).join(blocks, "block", "left_semi")
+        return search.rank(posts, terms, df, corpus)
+
+    def bounds(self, terms: list[str]) -> DataFrame:
+        """(block, bound): what no document of the block scores more than."""
+        version = self.version()
+        shared = self._shared(version)
+        df, corpus = self._statistics(self._postings(terms, version, shared), terms, version, shared)
+        rows = self.blocks.read_all(list(self._named(version))).filter(F.col("term").isin(terms))
+        best = rows.groupBy("term", "block").agg(F.max("most_tf").alias("tf"), F.min("least_len").alias("len"))
+        stats = corpus.select(F.struct("n", "avgdl")).scalar()
+        parts = best.join(F.broadcast(df), "term").withColumn("s", stats)  # one row for each word of the query
+        score = search.bm25(F.col("s.n"), F.col("df"), F.col("tf"), F.col("len"), F.col("s.avgdl"))
+        return parts.groupBy("block").agg((F.sum(score) * SLACK).alias("bound"))
+
+    def best_hits(self, terms: list[str], limit: int, wanted: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+        """Hits among which are the best `limit` of those that `wanted` keeps, and the blocks they were read from.
+
+        The blocks of the greatest bounds are scored first; the last of their
+        best `limit` is a threshold, and blocks whose bound does not reach it
+        are not scored at all. With few blocks, or fewer rows than wanted in the
+        first ones, every block is read (None).
+        """
+        bounds = self.bounds(terms)
+        first = [row.block for row in bounds.orderBy(F.desc("bound"), "block").limit(FIRST_BLOCKS + 1).collect()]
+        if len(first) <= FIRST_BLOCKS:
+            return self.hits(terms), None
+        some = self.spark.createDataFrame([(block,) for block in first[:FIRST_BLOCKS]], "block long")
+        best = wanted(self.hits(terms, some)).orderBy(F.desc("score")).limit(limit)
+        row = best.agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        if row.n < limit:
+            return self.hits(terms), None
+        reached = bounds.filter(F.col("bound") >= row.least).select("block")
+        return self.hits(terms, reached), reached

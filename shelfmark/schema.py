@@ -45,6 +45,8 @@ POSTINGS = _struct(term=_STRING, doc_id=_LONG, tf=_LONG, len=_LONG, archive=_STR
 # Additive: document frequencies by archive, and how many books it has of how many words.
 TERM_STATS = _struct(term=_STRING, archive=_STRING, content=_LONG, df=_LONG)
 LENGTHS = _struct(archive=_STRING, content=_LONG, docs=_LONG, words=_LONG)
+# By term and range of ids what bounds a score there: the greatest frequency and the least length.
+BLOCKS = _struct(term=_STRING, block=_LONG, most_tf=_LONG, least_len=_LONG)
 # What an index version serves, and the segments it is made of with the contents they cover.
 SERVED = _struct(name=_STRING, content=_LONG, shared_ids=T.BooleanType())
 SEGMENTS = _struct(segment=_LONG, content=_LONG, size=_LONG)

@@ -9,6 +9,7 @@ from builders import book, write_zip
 from pyspark.sql import functions as F
 
 from shelfmark.operators import search
+from shelfmark.operators.filters import Filters
 from shelfmark.plans import index
 from shelfmark.plans.catalog import Catalog
 from shelfmark.sources import archives as arc
@@ -74,6 +75,26 @@ def test_full_tiers_become_one_segment(catalog, library, monkeypatch):
     assert found(catalog.search("tale 3 lee")) == by_hand(catalog, "tale 3 lee")
 
 
+def test_blocks_below_the_threshold_are_not_scored(catalog, library, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK_IDS", 8)
+    monkeypatch.setattr(index, "FIRST_BLOCKS", 4)
+    word = lambda i: " ".join(["Sea"] * (4 if i % 40 == 3 else 1) + ["wide"] * (i % 7))
+    write_zip(library / "a.zip", {f"{i}.fb2": book(f"{word(i)} no{i}", "Ann", "Lee", "ru" if i % 3 else "en") for i in range(1, 161)})
+    catalog.ingest("new")
+    write_zip(library / "b.zip", {f"{i}.fb2": book(f"sea {i}", "Bob", "Ray") for i in range(201, 221)})
+    catalog.ingest("new")
+    terms = search.query_terms(catalog.spark, "sea", stem=True)
+    every = catalog._index.bounds(terms).count()
+    hits, blocks = catalog._index.best_hits(terms, 3, lambda rows: rows)
+    assert every > 20 > 8 >= blocks.count() >= 1 and hits.count() < 80
+    bounds = {r.block: r.bound for r in catalog._index.bounds(terms).collect()}
+    assert all(r.score <= bounds[r.id // 8] for r in catalog._index.hits(terms).collect())
+    page = lambda rows: [(r.id, round(r.score, 9)) for r in rows.collect()]
+    for query, filters in (("sea", None), ("sea wide", None), ("sea", Filters(lang="en")), ("sea lee", Filters(authors="ray")), ("sea", Filters(title="no7"))):
+        whole = page(catalog.search(query, filters, limit=None))
+        assert page(catalog.search(query, filters, limit=5)) == whole[:5] != []
+
+
 def test_an_index_that_is_not_finished_serves_nothing(catalog, library, monkeypatch):
     write_zip(library / "a.zip", {"1.fb2": book("Original")})
     catalog.ingest("new")
