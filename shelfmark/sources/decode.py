@@ -109,14 +109,15 @@ def to_text(raw: bytes, declared: str | None = None) -> str:
     return raw.decode(encoding, errors="replace")
 
 
-@F.pandas_udf(T.StringType())
-def _decode(raw: pd.Series) -> pd.Series:
-    return raw.map(to_text, na_action="ignore")
-
-
 def decode_text(raw: Column) -> Column:
     """Valid UTF-8 without a mark stays inside the JVM; only the rest goes to Python."""
+
+    # Made here, as a used one holds the session and could not go to the tasks with this module.
+    @F.pandas_udf(T.StringType())
+    def decoded(rest: pd.Series) -> pd.Series:
+        return rest.map(to_text, na_action="ignore")
+
     plain = raw.cast("string")
     marked = F.startswith(raw, F.lit(codecs.BOM_UTF8))
     valid = F.is_valid_utf8(plain) & ~marked
-    return F.when(valid, plain).otherwise(_decode(F.when(~valid, raw)))
+    return F.when(valid, plain).otherwise(decoded(F.when(~valid, raw)))
