@@ -24,8 +24,8 @@ from shelfmark.llm.tokens import chunks, words
 CAPACITY = 2048
 END_OF_BOOK = 0
 PIECES = "row long, id long, piece int, start long, length long, ids_crc32 long"
-# Words whose ids a task remembers; beyond it starts anew.
-REMEMBERED = 1_500_000
+# Bytes of words and ids that a worker remembers; beyond them it starts anew.
+REMEMBERED_BYTES = 24_000_000
 TOGETHER = 200
 
 
@@ -82,15 +82,18 @@ class Encoder:
         return out
 
     def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        """Adds sorted new keys, in their places among those that are there."""
         ids = self._encode(parts)
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         starts = len(self._ids) + np.append(0, sizes.cumsum())[:-1]
-        every = np.append(self._keys, keys)
-        order = np.argsort(every, kind="stable")
-        self._keys, self._at = every[order], np.append(self._at, starts)[order]
-        self._size = np.append(self._size, sizes)[order]
+        place = np.searchsorted(self._keys, keys)
+        self._keys = np.insert(self._keys, place, keys)
+        self._at, self._size = np.insert(self._at, place, starts), np.insert(self._size, place, sizes)
         self._ids = np.concatenate([self._ids, *ids])
 
+    def remembered(self) -> int:
+        return sum(x.nbytes for x in (self._keys, self._at, self._size, self._ids))
+
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         for _, part in chunks(texts):
@@ -99,7 +102,7 @@ class Encoder:
     def _encode_chunk(self, texts: pa.Array) -> Iterator[np.ndarray]:
         found = words(texts, split_signs=True)
         unique, where, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
-        if len(self._keys) > REMEMBERED:
+        if self.remembered() > REMEMBERED_BYTES:
             self._forget()
         place = np.searchsorted(self._keys, unique)
         missing = np.flatnonzero((place >= len(self._keys)) | (self._keys[np.minimum(place, max(len(self._keys) - 1, 0))] != unique if len(self._keys) else True))
@@ -121,7 +124,7 @@ class Encoder:
 
 
 def _encoder(path: str) -> Encoder:
-    """One for each Python worker, so that later tasks find the words of earlier ones.
+    """One for each Python worker, so that later tasks find the words of earlier ones; it holds REMEMBERED_BYTES at most.
 
     Code comes anew with each task, so the encoder is held by a module that stays.
     """
