@@ -243,10 +243,10 @@ def mask(books: DataFrame, least_probability: float = LEAST_PROBABILITY) -> Data
 
     Spans that overlap are replaced together, by the kind of the first. Other
     columns, NULL texts and texts without spans stay as they are. Texts are not
-    shuffled.
+    shuffled; they are written down beside their proposals, which are found once.
     """
-    proposed = keep(books.select(proposed_spans(text_of()).alias("spans")), "proposals")
-    spans = learn(proposed).spans(proposed_spans(text_of()), least_probability)
+    proposed = keep(books.withColumn("_proposed", proposed_spans(text_of())), "proposals")
+    spans = learn(proposed.select(F.col("_proposed").alias("spans"))).spans(F.col("_proposed"), least_probability)
 
     def masked(found: Column) -> Column:
         by_start = F.array_sort(F.transform(found, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "kind")])))
@@ -260,4 +260,4 @@ def mask(books: DataFrame, least_probability: float = LEAST_PROBABILITY) -> Data
         rest = lambda state: F.concat(state["out"], F.substr(F.col("text"), (state["at"] + 1).cast("int")))
         return F.when(F.size(found) == 0, F.col("text")).otherwise(F.aggregate(by_start, start, add, rest))
 
-    return books.withColumn("text", let(spans, masked))
+    return proposed.withColumn("text", let(spans, masked)).select(*books.columns)
