@@ -26,6 +26,8 @@ MOST_RATED = 4096
 LEAST_BOOKS = 3
 STEPS, RATE, PENALTY = 250, 0.1, 2e-6
 LEAST_TAIL = 0.5
+# Text that is graded and sent on at a time.
+SLICE_BYTES = 4_000_000
 
 _BYTES = np.arange(256)
 # Upper case, lower case (with all bytes beyond ASCII), digits; signs stay themselves.
@@ -161,21 +163,21 @@ def fit(books: DataFrame, ratings: DataFrame, most_rated: int = MOST_RATED) -> M
     return Model(weights, thresholds, np.array(grades, dtype=np.float64))
 
 
-def grader(model: Model, grade: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (place, text) to (place, expected_grade, tail)."""
+def grader(model: Model, grade: int, text: str = "text", given: tuple[str, ...] = ("id",)) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with the columns `given` and `text` to (*given, expected_grade, tail), slice by slice."""
     gaps = np.diff(model.grades)
     wanted = int(np.searchsorted(model.grades, grade)) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            expected, tail = [], []
-            for index, value in features(batch.column(batch.num_columns - 1)):
-                tails = model.tails(index, value)
-                expected.append(float(model.grades[0] + gaps @ tails))
-                tail.append(1.0 if wanted < 0 else float(tails[wanted]) if wanted < len(tails) else 0.0)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=[*names, "expected_grade", "tail"])
+            for at, part in chunks(batch.column(text), SLICE_BYTES):
+                expected, tail = [], []
+                for index, value in features(part):
+                    tails = model.tails(index, value)
+                    expected.append(float(model.grades[0] + gaps @ tails))
+                    tail.append(1.0 if wanted < 0 else float(tails[wanted]) if wanted < len(tails) else 0.0)
+                columns = [batch.column(name).slice(at, len(part)) for name in given]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=[*given, "expected_grade", "tail"])
 
     return run
 
