@@ -1,17 +1,20 @@
 """From documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, in
-the columns of `documents`; the last returns the pieces of the packing.
+the columns of `documents`; the last returns the pieces of the packing. A
+stage's result is written before the next stage is called.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.llm import copies, grades, mixing, packing, personal
-from shelfmark.llm.common import keep, text_of, word_count
+from shelfmark.llm.common import keep, stage_tables, text_of, word_count
 from shelfmark.llm.queries_free import LEAST_GRADE, ratings, tokenizer_path, weights_by_archive
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,9 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = grades.fit(_books(docs), ratings(spark, sf_dir))
     if model is None:
         return docs.select(*COLUMNS)
-    scored = docs.select(*COLUMNS, text_of().alias("_text")).mapInArrow(
-        grades.grader(model, LEAST_GRADE), SCHEMA + ", expected_grade double, tail double"
-    )
+    scored = docs.select(*COLUMNS).mapInArrow(grades.grader(model, LEAST_GRADE, given=COLUMNS), SCHEMA + ", expected_grade double, tail double")
     return scored.filter(F.col("tail") >= grades.LEAST_TAIL).select(*COLUMNS)
 
 
@@ -63,12 +64,23 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(_books(docs), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
+def _alone(stage):
+    """`stage`, called once the result of the one before is written: what that one kept on disk goes."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage_tables():
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", quality_stage),
-    ("n-gram Jaccard join", copies_stage),
-    ("personal data", personal_stage),
-    ("mixing to target weights", mixing_stage),
-    ("best-fit packing", packing_stage),
+    ("quality classifier", _alone(quality_stage)),
+    ("n-gram Jaccard join", _alone(copies_stage)),
+    ("personal data", _alone(personal_stage)),
+    ("mixing to target weights", _alone(mixing_stage)),
+    ("best-fit packing", _alone(packing_stage)),
 ]
 
 # A trained classifier and a tokenizer have no SQL; the tests hold the stages against brute force.

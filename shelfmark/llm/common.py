@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,23 +24,47 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`, which all executors see; a folder of this process only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """`spark.checkpoint.dir`, which all executors see; a folder of this process only where it is unset, on a local master."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    return given or _own_folder()
+
+
+# Tables that a stage has kept and that its result still reads; see `stage_tables`.
+_LENT: list = []
+_LENDING: list[bool] = [False]
 
 
 def keep(frame: DataFrame, name: str) -> DataFrame:
     """`frame`, written to the shared folder and read back: later steps neither repeat its work nor its lineage.
 
-    The files go when the application ends.
+    The files go when the application ends, those of a stage when the next one begins.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/shelfmark/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.deleteOnExit(place)
+    if _LENDING[0]:
+        _LENT.append((system, place))
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def stage_tables() -> Iterator[None]:
+    """Deletes what the stage before kept, as its result has been written since, and notes what this one keeps."""
+    while _LENT:
+        system, place = _LENT.pop()
+        system.delete(place, True)
+    _LENDING[0] = True
+    try:
+        yield
+    finally:
+        _LENDING[0] = False
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` evaluated once, however often the body and its lambdas use it."""
     return F.transform(F.array(value), body)[0]
