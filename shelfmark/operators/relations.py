@@ -38,23 +38,27 @@ def with_authors(books: DataFrame, links: DataFrame, authors: DataFrame, *also:
     return found.withColumn("authors", F.coalesce("authors", F.array().cast(_AUTHOR)))
 
 
-def page_with_authors(page: DataFrame, links: DataFrame, history: DataFrame) -> DataFrame:
+def page_with_authors(page: DataFrame, links: DataFrame, authors: DataFrame) -> DataFrame:
     """The rows of a result page plus their `authors` array, with the page in the plan once.
 
-    The page is small, so it meets links and authors as they are read. `history`
-    may hold several rows of an author, told apart by `batch`: the last counts.
+    The page is small, so it meets links and authors as they are read.
     """
     columns = [F.col(name) for name in page.columns]
     own = page.join(links.select(F.col("book_id").alias("id"), "author_id", "pos"), "id", "left")
-    people = history.select(F.col("id").alias("author_id"), F.struct("id", *AUTHOR_FIELDS).alias("_names"), "batch")
-    newest = own.join(people, "author_id", "left").groupBy(*columns, "pos", "author_id").agg(F.max_by("_names", "batch").alias("_names"))
+    people = authors.select(F.col("id").alias("author_id"), F.struct("id", *AUTHOR_FIELDS).alias("_names"))
+    named = own.join(people, "author_id", "left")
     listed = F.array_sort(F.collect_list(F.when(F.col("_names").isNotNull(), F.struct("pos", "_names"))))
-    return newest.groupBy(*columns).agg(F.transform(listed, lambda a: a["_names"]).cast(_AUTHOR).alias("authors"))
+    return named.groupBy(*columns).agg(F.transform(listed, lambda a: a["_names"]).cast(_AUTHOR).alias("authors"))
 
 
-def search_docs(books: DataFrame, links: DataFrame, authors: DataFrame, *also: str) -> DataFrame:
+def search_docs(books: DataFrame, links: DataFrame, authors: DataFrame) -> DataFrame:
     """What the full-text index reads, one row per book."""
-    return with_authors(books, links, authors, *also).select(
+    return docs_of(with_authors(books, links, authors))
+
+
+def docs_of(books: DataFrame, *also: str) -> DataFrame:
+    """T1 of books that carry their authors."""
+    return books.select(
         "id",
         "title",
         fields.genres_text(F.col("genres")).alias("genres_text"),
@@ -72,14 +76,17 @@ def hits_with_books(hits: DataFrame, books: DataFrame) -> DataFrame:
 def export_manifest(
     books: DataFrame, links: DataFrame, authors: DataFrame, archives: DataFrame, ids=None
 ) -> DataFrame:
-    """(id, title, author, file_name, archive) of the wanted books."""
+    """(id, title, author, file_name, archive) of the wanted books; those that carry their authors need no join."""
     wanted = books if ids is None else by_ids(books, ids)
     known = wanted.join(archives.select(F.col("name").alias("archive")), "archive")
-    # Only the wanted books' links take part in the author join.
-    own_links = links if ids is None else links.join(
-        known.select(F.col("id").alias("book_id")), "book_id", "left_semi"
-    )
-    rows = with_authors(known.select("id", "title", "archive"), own_links, authors)
+    if "authors" in known.columns:
+        rows = known.select("id", "title", "archive", "authors")
+    else:
+        # Only the wanted books' links take part in the author join.
+        own_links = links if ids is None else links.join(
+            known.select(F.col("id").alias("book_id")), "book_id", "left_semi"
+        )
+        rows = with_authors(known.select("id", "title", "archive"), own_links, authors)
     author = naming.normalized_author(fields.authors_text(F.col("authors")))
     named = rows.select("id", "title", author.alias("author"), "archive")
     return naming.with_file_name(named, F.col("author"), F.col("title"), F.col("id")).select(

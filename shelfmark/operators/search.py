@@ -161,18 +161,19 @@ def top_by_title(books: DataFrame, limit: int | None = RESULT_LIMIT) -> DataFram
 
 
 def _page(top: DataFrame, links: DataFrame, authors: DataFrame, order: list[Column]) -> DataFrame:
-    """Authors are looked up for the result page only; how it is joined follows from its size."""
-    history = authors if "batch" in authors.columns else authors.withColumn("batch", F.lit(0).cast("bigint"))
-    return relations.page_with_authors(top, links, history).select(*RESULT_COLUMNS).orderBy(*order)
+    """Books that carry their authors are the page; for others they are looked up for the page only."""
+    if "authors" in top.columns:
+        return top.select(*RESULT_COLUMNS)
+    return relations.page_with_authors(top, links, authors).select(*RESULT_COLUMNS).orderBy(*order)
 
 
 def browse(
-    books: DataFrame, links: DataFrame, authors: DataFrame, filters: flt.Filters, limit: int | None = RESULT_LIMIT, history: DataFrame | None = None
+    books: DataFrame, links: DataFrame, authors: DataFrame, filters: flt.Filters, limit: int | None = RESULT_LIMIT
 ) -> DataFrame:
-    """Filtered books by title, score 0. `history`: author rows of all runs, from which the page takes the last."""
+    """Filtered books by title, score 0."""
     found = flt.apply_filters(flt.complete_rows(books), filters, links, authors)
     top = top_by_title(found, limit).withColumn("score", F.lit(0.0))
-    return _page(top, links, authors if history is None else history, [F.asc_nulls_last("title"), F.col("id")])
+    return _page(top, links, authors, [F.asc_nulls_last("title"), F.col("id")])
 
 
 def ranked(
@@ -182,9 +183,8 @@ def ranked(
     authors: DataFrame,
     filters: flt.Filters,
     limit: int | None = RESULT_LIMIT,
-    history: DataFrame | None = None,
 ) -> DataFrame:
     """T4, T5: hits (id, score) with book columns; filters come before the limit."""
     found = flt.apply_filters(flt.complete_rows(books), filters, links, authors)
     top = top_by_score(hits.join(found, "id"), limit)
-    return _page(top, links, authors if history is None else history, [F.desc("score"), F.col("id")])
+    return _page(top, links, authors, [F.desc("score"), F.col("id")])

@@ -100,7 +100,10 @@ class Catalog:
     def _author_rows(self) -> DataFrame:
         """Latest row per author id. A run adds an id only when no other
         archive links to it, so the first name given to a linked id stays."""
-        rows = self._author_history()
+        return self._newest(self._author_history())
+
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
         names = F.struct(*schema.AUTHOR_FIELDS)
         newest = rows.groupBy("id").agg(F.max_by(names, F.col("batch")).alias("a"))
         return newest.select("id", *(F.col(f"a.{name}").alias(name) for name in schema.AUTHOR_FIELDS))
@@ -140,6 +143,9 @@ class Catalog:
         todo = run.read(batch)
         if todo.isEmpty():
             return False
+        # Names of a run that died before its commit would count as the last ones.
+        last = max(self._state()[0], default=0)
+        self._authors.remove({number for number in self._authors.complete() if number <= last})
         self._entries.write(runs.list_archives_of(self.spark, todo), batch)
         self._directories.write(todo.withColumnRenamed("name", "archive"), batch)
         parsed_at = f"{self.warehouse}/runs/parsed/batch={batch}"
@@ -180,15 +186,21 @@ class Catalog:
 
     def _write_rows(self, nested: DataFrame, replaced: DataFrame, batch: int) -> None:
         books, authors, links = merge.flatten_books(nested)
+        named = None
         if self._state()[0]:
             # Ids that other archives still link to keep their row (K6). The ids
             # are made distinct first, so that no author's links fill one task.
             others = self._current(self._links, self._others(replaced))
-            linked = others.select(F.col("author_id").alias("id")).distinct()
-            authors = merge.without(authors, linked.join(authors.select("id"), "id", "left_semi"), "id")
+            linked = others.select(F.col("author_id").alias("id")).distinct().join(authors.select("id"), "id", "left_semi")
+            named = self._newest(self._author_history().join(linked, "id", "left_semi"))
+            authors = merge.without(authors, linked, "id")
         self._authors.write(authors, batch)
         self._links.write(links, batch)
-        self._write_books(books, batch)
+        # The names that links to these authors show, here and in other archives:
+        # they stay as long as any current book has them.
+        shown = self._authors.read([batch]).drop("batch")
+        shown = shown if named is None else shown.unionByName(named)
+        self._write_books(relations.with_authors(books, self._links.read([batch]), shown, "archive"), batch)
 
     def _write_books(self, books: DataFrame, batch: int) -> None:
         """Books by ranges of ids, and the range that each file holds."""
@@ -291,7 +303,7 @@ class Catalog:
         own = archives.join(missing.select(F.col("archive").alias("name")), "name", "left_semi")
         books = flt.complete_rows(self._current(self._books, own))
         contents = own.select(F.col("name").alias("archive"), "content")
-        docs = relations.search_docs(books, self._current(self._links, own), self._author_rows(), "archive").join(contents, "archive")
+        docs = relations.docs_of(books, "archive").join(contents, "archive")
         return self._index.add(docs, archives, whole)
 
     def search_docs(self) -> DataFrame | None:
@@ -302,9 +314,10 @@ class Catalog:
     def search(self, query: str = "", filters: flt.Filters | None = None, limit: int | None = search.RESULT_LIMIT) -> DataFrame:
         """Ranked match of a query, or browse by title when it is blank."""
         filters = filters or flt.Filters()
-        books, links, authors, history = self.books(), self.links(), self._author_rows(), self._author_history()
+        # Links and authors are read only for a filter by author.
+        books, links, authors = self.books(), self.links(), self._author_rows()
         if not query.strip():
-            return search.browse(books, links, authors, filters, limit, history)
+            return search.browse(books, links, authors, filters, limit)
         if self._index.version() is None:
             self.build_search_index()
         terms = search.query_terms(self.spark, query, stem=self.stem)
@@ -313,7 +326,7 @@ class Catalog:
         else:
             found = flt.apply_filters(flt.complete_rows(books), filters, links, authors).select("id")
             hits, _ = self._index.best_hits(terms, limit, lambda rows: rows.join(found, "id", "left_semi"))
-        return search.ranked(hits, books, links, authors, filters, limit, history)
+        return search.ranked(hits, books, links, authors, filters, limit)
 
     def count(self) -> int:
         return facets.total(self.books()).first().total

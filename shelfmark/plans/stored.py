@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions import fields
 from shelfmark.operators.filters import Filters
 from shelfmark.plans.catalog import Catalog
 from shelfmark.plans.queries import RELATIONS, query
@@ -197,7 +198,15 @@ def _(spark, folder):
 @query("i1_ingested_books", _USED, "SELECT id, title, genres, date, lang, file_size, sequence, archive FROM stored_books")
 def _(spark, folder):
     """What two runs made of the archives."""
-    return shelf(spark, folder).catalog.books().withColumn("genres", F.array_join("genres", "|"))
+    books = shelf(spark, folder).catalog.books().withColumn("genres", F.array_join("genres", "|"))
+    return books.select("id", "title", "genres", "date", "lang", "file_size", "sequence", "archive")
+
+
+@query("p23_stored_authors", _USED, "SELECT id, coalesce(authors_text, '') AS authors FROM stored_books")
+def _(spark, folder):
+    """Authors as each book carries them."""
+    books = shelf(spark, folder).catalog.books()
+    return books.select("id", F.coalesce(fields.authors_text(F.col("authors")), F.lit("")).alias("authors"))
 
 
 @query("i2_streamed_books", _USED, "SELECT id, title, archive FROM stored_books")

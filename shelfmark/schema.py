@@ -17,6 +17,9 @@ def _struct(**fields: T.DataType) -> T.StructType:
 # says that one of its book ids is also claimed by another archive.
 ARCHIVES = _struct(name=_STRING, status=_STRING, batch=_LONG, content=_LONG, shared_ids=T.BooleanType())
 
+AUTHOR_FIELDS = ("first_name", "middle_name", "last_name", "nickname")
+
+# A book carries its authors under the names that the catalog shows, so a page needs no join.
 BOOKS = _struct(
     id=_LONG,
     title=_STRING,
@@ -26,6 +29,7 @@ BOOKS = _struct(
     file_size=_LONG,
     sequence=_STRING,
     archive=_STRING,
+    authors=T.ArrayType(_struct(id=_STRING, **dict.fromkeys(AUTHOR_FIELDS, _STRING))),
 )
 AUTHORS = _struct(id=_STRING, first_name=_STRING, middle_name=_STRING, last_name=_STRING, nickname=_STRING)
 LINKS = _struct(book_id=_LONG, author_id=_STRING, pos=_INT, archive=_STRING)
@@ -54,8 +58,6 @@ SEGMENTS = _struct(segment=_LONG, content=_LONG, size=_LONG)
 STATUS_INDEXING, STATUS_INDEXED, STATUS_NEW = "indexing", "indexed", "new"
 MAX_BOOK_ID = 2**32 - 1
 
-AUTHOR_FIELDS = ("first_name", "middle_name", "last_name", "nickname")
-
 _TEXTS = T.ArrayType(_STRING)
 
 
