@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import keep
+
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM_SIZES = (3, 4)
@@ -88,7 +90,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame, most_lab
     the verdict is the model's. `blocked` is its probability for every address.
     The model is a logistic regression on hashed character n-grams of host and
     path, fitted on `labelled` (url, blocked boolean), of which at most
-    `most_labelled` rows are used, the first by a digest of the address. A NULL
+    `most_labelled` addresses are used, each once, the first by a digest of them. A NULL
     address or one without `://` has empty parts and gets the model's verdict on
     these. Labels of one kind, or none, give that verdict, or allow. Repeated
     rows are judged each; no pages give no rows. `rules` is a list kept by hand;
@@ -97,15 +99,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame, most_lab
     hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=FEATURES, binary=True)
     host, path = parts(F.col("url"))
     known = labelled.filter("blocked is not null").select(*[c.alias(n) for n, c in zip(("_host", "_path"), parts(F.col("url")), strict=True)], F.col("blocked").cast("double").alias("_label"))
-    sample = known.orderBy(F.xxhash64("_host", "_path"), "_host", "_path", "_label").limit(most_labelled).select("_label", grams(F.col("_host"), F.col("_path")).alias("_grams"))
-    sample = sample.cache()
-    try:
-        kinds = sorted(row["_label"] for row in sample.select("_label").distinct().collect())
-        model = None
-        if len(kinds) == 2:
-            model = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=ITERATIONS, regParam=PENALTY).fit(hashing.transform(sample))
-    finally:
-        sample.unpersist()
+    # An address counts once: copies of one would else fill the sample.
+    first = known.distinct().orderBy(F.xxhash64("_host", "_path"), "_host", "_path", "_label").limit(most_labelled)
+    sample = keep(first.select("_label", grams(F.col("_host"), F.col("_path")).alias("_grams")), "addresses")
+    kinds = sorted(row["_label"] for row in sample.select("_label").distinct().collect())
+    model = None
+    if len(kinds) == 2:
+        model = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=ITERATIONS, regParam=PENALTY).fit(hashing.transform(sample))
     plain = pages.select("id", host.alias("host"), path.alias("path"))
     if model is None:
         scored = plain.withColumn("blocked", F.lit(kinds[0] if kinds else 0.0))
